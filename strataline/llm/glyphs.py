@@ -157,7 +157,7 @@ def one_form(df: DataFrame, columns: list[str], suffix: str = "_form") -> DataFr
             texts = pa.table([pa.array(range(len(b)), pa.int64()), *(pa.array(v, pa.string()) for v in lists)], names=["row_at", *(f"v{i}" for i in range(len(columns)))])
             con.register("texts", texts)
             select = ", ".join(f"{form_sql(f'v{i}', met)} AS f{i}" for i in range(len(columns)))
-            got = con.execute(f"SELECT {select} FROM texts ORDER BY row_at").to_arrow_table()
+            got = con.sql(f"SELECT {select} FROM texts ORDER BY row_at").to_arrow_table()
             con.unregister("texts")
             cols = [pa.concat_arrays([x.cast(pa.string()) for x in got.column(i).chunks]) if got.num_rows else pa.array([], pa.string()) for i in range(len(columns))]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, *added])

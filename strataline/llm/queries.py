@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataline.llm import glyphs
+from strataline.llm import glyphs, leakage, quality
 from strataline.operators.dedupe import first_delivery
 from strataline.sources.tables import table
 
@@ -22,5 +22,30 @@ def p4_forms(spark: SparkSession, sf: str) -> DataFrame:
     return glyphs.one_form(_examples(spark, sf), ["xml", "llm"])
 
 
-QUERIES = {"p4_found": p4_found, "p4_forms": p4_forms}
+def p6_runs(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return leakage.leaks(docs, "doc_id", "text", table(spark, sf, "held_out_items"), "item_id", "text")
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.leaked_pairs(p6_runs(spark, sf))
+
+
+def p6_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.leaked_documents(p6_runs(spark, sf))
+
+
+def p8_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.judge_documents(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p8_statistics(spark, sf).where("doc_kind <> 'prose'").select("doc_id", "doc_kind")
+
+
+QUERIES = {
+    "p4_found": p4_found, "p4_forms": p4_forms,
+    "p6_found": p6_found, "p6_runs": p6_runs, "p6_documents": p6_documents,
+    "p8_found": p8_found, "p8_statistics": p8_statistics,
+}
 ORACLE_SQL: dict[str, str] = {}
