@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataline.llm import glyphs, leakage, quality
+from strataline.llm import glyphs, leakage, linkage, quality
 from strataline.operators.dedupe import first_delivery
 from strataline.sources.tables import table
 
@@ -14,6 +14,14 @@ def _examples(spark: SparkSession, sf: str) -> DataFrame:
     return first_delivery(rows, ["example_id"], ["loaded_at"]).select("example_id", "xml", "llm")
 
 
+def p2_links(spark: SparkSession, sf: str) -> DataFrame:
+    return linkage.link(table(spark, sf, "spt_logged"), table(spark, sf, "spt_extracted"))
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p2_links(spark, sf).select("spt_id", "ext_id")
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return glyphs.same_to_the_reader(_examples(spark, sf), "xml", "llm").select("example_id")
 
@@ -44,6 +52,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found, "p2_links": p2_links,
     "p4_found": p4_found, "p4_forms": p4_forms,
     "p6_found": p6_found, "p6_runs": p6_runs, "p6_documents": p6_documents,
     "p8_found": p8_found, "p8_statistics": p8_statistics,
