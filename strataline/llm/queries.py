@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataline.llm import glyphs, leakage, linkage, quality
+from strataline.llm import glyphs, leakage, linkage, mixing, quality
 from strataline.operators.dedupe import first_delivery
 from strataline.sources.tables import table
 
@@ -43,6 +43,19 @@ def p6_documents(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.leaked_documents(p6_runs(spark, sf))
 
 
+def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    tokens = mixing.count_tokens(table(spark, sf, "documents").select("doc_id", "source", "text"), "doc_id", "source", "text")
+    return mixing.mix(tokens, table(spark, sf, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return _mixed(spark, sf)[0]
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return _mixed(spark, sf)[1]
+
+
 def p8_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return quality.judge_documents(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
 
@@ -55,6 +68,7 @@ QUERIES = {
     "p2_found": p2_found, "p2_links": p2_links,
     "p4_found": p4_found, "p4_forms": p4_forms,
     "p6_found": p6_found, "p6_runs": p6_runs, "p6_documents": p6_documents,
+    "p7_mix": p7_mix, "p7_shares": p7_shares,
     "p8_found": p8_found, "p8_statistics": p8_statistics,
 }
 ORACLE_SQL: dict[str, str] = {}
