@@ -6,12 +6,13 @@ import json
 import math
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from typing import Any
 
 _DECODER = json.JSONDecoder()
 _OPEN = re.compile(r"[{\[]")
+_MAY_OPEN = frozenset("{[ \t\r\n\ufeff")
+_TYPES = {str: "string", dict: "object", list: "array", bool: "boolean", int: "number", float: "number", type(None): "null"}
 
 
 def _looks_started(text: str, at: int) -> bool:
@@ -48,6 +49,8 @@ def read_document(text: str | None) -> Any | None:
 
 def open_string(text: str) -> Any:
     """What a string holds: an object or array if it is one, else the string."""
+    if text[:1] not in _MAY_OPEN:
+        return text
     head = text.lstrip()[:1]
     if head == "{" or head == "[":
         try:
@@ -60,15 +63,7 @@ def open_string(text: str) -> Any:
 
 
 def json_type(v: Any) -> str:
-    if isinstance(v, dict):
-        return "object"
-    if isinstance(v, list):
-        return "array"
-    if isinstance(v, bool):
-        return "boolean"
-    if isinstance(v, (int, float)):
-        return "number"
-    return "null" if v is None else "string"
+    return _TYPES[type(v)]
 
 
 def scalar_text(v: Any) -> str | None:
@@ -94,24 +89,32 @@ def value_key(v: Any) -> str | None:
     return f"{f:.10g}" if math.isfinite(f) else t
 
 
-def labels_of(doc: Any) -> dict[str, Counter]:
+def labels_of(doc: Any) -> dict[str, dict[str, int]]:
     """Label (keys joined by dots, no element numbers) -> counts of the JSON types met there."""
-    out: dict[str, Counter] = {}
+    out: dict[str, dict[str, int]] = {}
     stack: list[tuple[str, Any]] = [("", doc)]
     while stack:
         path, v = stack.pop()
-        if isinstance(v, str):
-            v = open_string(v)
-        if isinstance(v, dict):
-            for k, x in v.items():
-                p = f"{path}.{k}" if path else k
-                if isinstance(x, str):
+        if type(v) is list:
+            for x in v:
+                if type(x) is str:
                     x = open_string(x)
-                out.setdefault(p, Counter())[json_type(x)] += 1
-                if isinstance(x, (dict, list)):
-                    stack.append((p, x))
-        elif isinstance(v, list):
-            stack.extend((path, x) for x in v if isinstance(x, (dict, list, str)))
+                if type(x) is dict or type(x) is list:
+                    stack.append((path, x))
+            continue
+        prefix = path + "." if path else ""
+        for k, x in v.items():
+            p = prefix + k
+            if type(x) is str and x[:1] in _MAY_OPEN:
+                x = open_string(x)
+            kind = _TYPES[type(x)]
+            met = out.get(p)
+            if met is None:
+                out[p] = {kind: 1}
+            else:
+                met[kind] = met.get(kind, 0) + 1
+            if kind == "object" or kind == "array":
+                stack.append((p, x))
     return out
 
 

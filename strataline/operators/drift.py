@@ -11,7 +11,6 @@ gathered into arrays or on the driver; records and values stay distributed.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -75,9 +74,11 @@ def _raw_values(doc: object) -> dict[str, list]:
     return out
 
 
-def type_statistics(records: DataFrame, c: Drift = Drift()) -> DataFrame:
+def type_statistics(records: DataFrame, c: Drift = Drift(), values: bool = False) -> DataFrame:
     """(series, batch, label, json_type, is_numeric, is_many, n): records of a batch by label and raw type.
 
+    ``is_numeric`` (all values of the record can be read as numbers) is looked at only with ``values``.
+
     Label '' carries the number of readable records. A record counts once per label, with the type it
     gives most often, nulls aside (only nulls: type 'null'). Unreadable or null data adds nothing; an
     empty table gives an empty result.
@@ -85,18 +86,28 @@ def type_statistics(records: DataFrame, c: Drift = Drift()) -> DataFrame:
 
     def agg(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n: Counter = Counter()
+            n: dict[tuple, int] = {}
             for s, k, d in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 doc = jsonx.read_document(d)
                 if doc is None:
                     continue
-                n[s, k, "", "record", False, False] += 1
-                raw = _raw_values(doc)
+                key = (s, k, "", "record", False, False)
+                n[key] = n.get(key, 0) + 1
+                raw = _raw_values(doc) if values else {}
                 for label, types in jsonx.labels_of(doc).items():
-                    known = {t: m for t, m in types.items() if t != "null"}
-                    kind = min(known, key=lambda t: (-known[t], t)) if known else "null"
-                    vals = [v for v in raw.get(label, ()) if jsonx.value_key(v) is not None]
-                    n[s, k, label, kind, bool(vals) and all(map(_is_number, vals)), sum(types.values()) > 1 or kind == "array"] += 1
+                    if len(types) == 1:
+                        kind, m = next(iter(types.items()))
+                        many = m > 1 or kind == "array"
+                    else:
+                        known = {t: m for t, m in types.items() if t != "null"}
+                        kind = min(known, key=lambda t: (-known[t], t))
+                        many = True
+                    numeric = False
+                    if values:
+                        vals = [v for v in raw.get(label, ()) if jsonx.value_key(v) is not None]
+                        numeric = bool(vals) and all(map(_is_number, vals))
+                    key = (s, k, label, kind, numeric, many)
+                    n[key] = n.get(key, 0) + 1
             cols = list(zip(*(key + (m,) for key, m in n.items()), strict=True)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, arrow, strict=True)], names=names)
 
@@ -236,9 +247,21 @@ def notation_changes(paths: DataFrame, series: str, batch: str, field: str) -> D
     return most.withColumn("__before", prev).where("__before is not null and __before <> __way").select(series, batch)
 
 
+def batchwise(results: DataFrame, c: Drift = Drift(), salts: int = 4) -> DataFrame:
+    """Each record once, with the records of a batch side by side in ``salts`` partitions.
+
+    One shuffle serves both, and what is counted per batch is then counted before it is moved again. A batch
+    with a large share of all rows is spread over the salts.
+    """
+    salt = F.pmod(F.xxhash64(c.record), F.lit(salts))
+    keys = [c.record, c.series, c.batch, c.file, c.data, c.delivered]
+    together = results.select(*keys, salt.alias("__salt")).repartition(c.series, c.batch, "__salt")
+    return first_delivery(together, [c.series, c.batch, "__salt", c.record], [c.delivered]).drop("__salt")
+
+
 def change_report(results: DataFrame, examples: DataFrame) -> DataFrame:
     """Changes of result records and of the paths in evaluation rows in one table (origin first)."""
-    records = first_delivery(results, ["result_id"], ["loaded_at"])
+    records = batchwise(results)
     a = label_changes(records).select(F.lit("extraction_result").alias("origin"), "series_id", "batch_no", "change_kind", "label", "detail")
     once = first_delivery(examples.select("example_id", "series_id", "batch_no", "field", "loaded_at"), ["example_id"], ["loaded_at"])
     b = notation_changes(once, "series_id", "batch_no", "field").select(
@@ -262,7 +285,7 @@ def consistent_columns(records: DataFrame, c: Drift = Drift(), max_labels: int =
     Read on the driver from schema-sized statistics: one row per distinct label and one per distinct
     rename, at most ``max_labels`` (more would not be a schema; that raises ValueError).
     """
-    stats = cut(type_statistics(records, c))
+    stats = cut(type_statistics(records, c, values=True))
     force = labels_in_force(stats, c)
     use = force.groupBy("label").agg(F.count("*").alias("batches"))
     kinds = stats.where("label <> ''").groupBy("label").agg(
