@@ -1,0 +1,86 @@
+"""Extraction with an exchangeable backend: ask, parse, check, ask again with the error; results and errors apart."""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Callable, Iterator
+from typing import Protocol
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+#: Further asks after the first.
+MAX_RETRIES = 2
+
+
+class Extractor(Protocol):
+    """A backend: ``ask`` takes the parts sent so far and gives (text, input tokens, output tokens)."""
+
+    def ask(self, parts: list[str]) -> tuple[str, int, int]: ...
+
+
+class OfflineExtractor:
+    """A deterministic stand-in: answers broken JSON ``fail`` times, then an object with the text's length."""
+
+    def __init__(self, fail: int = 0):
+        self.fail = fail
+
+    def ask(self, parts: list[str]) -> tuple[str, int, int]:
+        asks = sum(p.startswith("error:") for p in parts)
+        body = json.dumps({"chars": len(parts[0]), "asks": asks + 1})
+        return ("{broken" if asks < self.fail else body), sum(map(len, parts)), len(body)
+
+
+#: name -> maker of a backend. Live services are not part of the package.
+BACKENDS: dict[str, Callable[[], Extractor]] = {"offline": OfflineExtractor}
+
+
+def fenced(text: str) -> str:
+    """Worker-side twin of the fence expression."""
+    if not text.startswith("```"):
+        return text
+    body = text.split("\n")[1:]
+    end = next((i for i, x in enumerate(body) if x.startswith("```")), len(body))
+    return "\n".join(body[:end])
+
+
+def extract_one(extractor: Extractor, parts: list[str], required: list[str]) -> dict:
+    """Result of one input: data, tokens over all asks, retries. Raises ValueError after the last ask.
+
+    The first parts stay in every further ask; each error is added to them.
+    """
+    sent, used_in, used_out = list(parts), 0, 0
+    for attempt in range(1 + MAX_RETRIES):
+        text, i, o = extractor.ask(sent)
+        used_in, used_out = used_in + i, used_out + o
+        try:
+            data = json.loads(fenced(text))
+            lacking = [k for k in required if not isinstance(data, dict) or k not in data]
+            if lacking:
+                raise ValueError("missing: " + ", ".join(lacking))
+            return {"data": json.dumps(data, ensure_ascii=False), "input_tokens": used_in, "output_tokens": used_out, "retry_count": attempt}
+        except ValueError as e:
+            if attempt == MAX_RETRIES:
+                raise
+            sent.append(f"error: {e}")
+    raise AssertionError
+
+
+def extract(inputs: DataFrame, make: Callable[[str], Extractor], required: list[str]) -> DataFrame:
+    """(file, data, input_tokens, output_tokens, retry_count, error) for (file, text); ``error`` is null on success.
+
+    A task may run twice; write results by file so that a second run replaces the first.
+    """
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in it:
+            out = []
+            for f, t in zip(b["file"], b["text"], strict=True):
+                try:
+                    r = extract_one(make(f), [t or ""], required)
+                    out.append((f, r["data"], r["input_tokens"], r["output_tokens"], r["retry_count"], None))
+                except Exception as e:  # noqa: BLE001 - any failure of a backend belongs in the error log
+                    out.append((f, None, 0, 0, MAX_RETRIES, str(e)))
+            yield pd.DataFrame(out, columns=["file", "data", "input_tokens", "output_tokens", "retry_count", "error"])
+
+    return inputs.select("file", "text").mapInPandas(run, "file string, data string, input_tokens long, output_tokens long, retry_count int, error string")

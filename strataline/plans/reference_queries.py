@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strataline.functions import paths, text
 from strataline.operators import align, judge, metrics
 from strataline.plans import bindings as B
+from strataline.session import cut
 from strataline.sources.tables import table
 
 QUERIES: dict = {}
@@ -27,8 +28,9 @@ def query(sql: str | None = None):
 
 
 def _bound(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Leaf tables with their normal form, written once: six joins read them."""
     truth, pred = B.truth_and_pred(spark, sf)
-    return judge.with_norm(truth, ascii_only=True), judge.with_norm(pred, ascii_only=True)
+    return cut(judge.with_norm(truth, ascii_only=True)), cut(judge.with_norm(pred, ascii_only=True))
 
 
 def _labels(pred: DataFrame) -> DataFrame:

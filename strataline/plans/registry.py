@@ -16,7 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def _parts() -> list:
     parts: list = [core_queries]
-    for name in ["strataline.plans.reference_queries"]:
+    for name in ["strataline.plans.reference_queries", "strataline.plans.layout_queries"]:
         if importlib.util.find_spec(name):
             parts.append(importlib.import_module(name))
     return parts
