@@ -1,0 +1,209 @@
+"""Look-alikes, leaks, quality, mixing, linkage: against brute force and small cases."""
+
+import random
+import unicodedata
+
+import pytest
+from pyspark.sql import functions as F
+
+from strataline.llm import glyphs, leakage, linkage, mixing, quality
+
+
+# --- one form -----------------------------------------------------------------------------------------------
+
+
+def reference_form(t):
+    """The same mapping character by character in Python."""
+    one, many, hidden = glyphs.glyph_tables()
+    t = "".join(many.get(c, c) for c in t)
+    return unicodedata.normalize("NFC", "".join(one.get(c, c) for c in t if c not in hidden))
+
+
+SAME = [("Ｔ．Ｐ．＋４５", "T.P.+45"), ("Τ.Ρ.", "T.P."), ("ﾎﾟｰﾀﾌﾞﾙ", "ポータブル"), ("Höhe", "Höhe"), ("腐植⼟", "腐植土"), ("a b", "a b"), ("盛\U000e0100土", "盛土"), ("ロ­ータ", "口ータ"), ("㎜", "mm"), ("ӧ", "ö"), ("1–2", "1-2")]
+OTHER = [("1", "l"), ("0", "O"), ("a b", "ab"), ("A", "a"), ("①", "1"), ("m²", "m2"), ("ハ", "パ"), ("黄褐", "黄灰")]
+
+
+def test_one_form(spark):
+    rows = [(i, a, b) for i, (a, b) in enumerate(SAME + OTHER)] + [(100, None, "x"), (101, "", "x"), (102, "x", "x"), (103, "​", "‌")]
+    df = spark.createDataFrame(rows, "id int, xml string, llm string")
+    got = {r.id for r in glyphs.same_to_the_reader(df, "xml", "llm").collect()}
+    assert got == set(range(len(SAME))) | {103}
+    formed = glyphs.one_form(df, ["xml", "llm"]).collect()
+    assert all(r.xml_form == (None if r.xml is None else reference_form(r.xml)) for r in formed)
+    assert glyphs.one_form(df.limit(0), ["xml"]).count() == 0
+    with pytest.raises(ValueError):
+        glyphs.one_form(df.withColumn("xml_form", F.lit(1)), ["xml"])
+
+
+def test_one_form_random(spark):
+    rng = random.Random(1)
+    alphabet = "aｂ漢ｶﾞОΡ㍍é́​　 -−ー二'\"\\[]^"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(500)] + ["長" * 100_000 + "ｶﾞ"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    for r in glyphs.one_form(df, ["t"]).collect():
+        assert r.t_form == reference_form(r.t)
+
+
+# --- leaks --------------------------------------------------------------------------------------------------
+
+
+def brute_leaks(docs, items, run):
+    out = set()
+    for i, x in items:
+        x = leakage.normalise(x)
+        for d, t in docs:
+            t = leakage.normalise(t)
+            if any(x[a : a + run] in t for a in range(len(x) - run + 1)):
+                out.add((i, d))
+    return out
+
+
+def test_leaks_against_brute_force(spark):
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abc漢字ｶ ,") for _ in range(n))
+    items = [(i, word(rng.randint(20, 150))) for i in range(12)] + [(90, None), (91, "")]
+    docs = []
+    for d in range(120):
+        i, x = rng.choice(items[:12])
+        a = rng.randint(0, max(0, len(x) - 10))
+        docs.append((d, word(rng.randint(0, 60)) + x[a : a + rng.randint(20, 80)].upper() + "\n" + word(rng.randint(0, 60))))
+    docs += [(900, None), (901, ""), (902, docs[0][1])]
+    D, I = spark.createDataFrame(docs, "d long, t string"), spark.createDataFrame(items, "i long, t string")
+    runs = leakage.leaks(D, "d", "t", I, "i", "t")
+    got = {(r.item_id, r.doc_id) for r in leakage.leaked_pairs(runs).collect()}
+    assert got == brute_leaks(docs, [x for x in items if x[1]], 40) and got
+    # blocks of items give the same
+    again = leakage.leaks(D, "d", "t", I, "i", "t", block_chars=100)
+    assert {(r.item_id, r.doc_id) for r in leakage.leaked_pairs(again).collect()} == got
+    text = dict(docs)
+    for r in runs.collect():
+        if r.doc_start is not None:
+            assert leakage.normalise(text[r.doc_id][r.doc_start : r.doc_end]).count("") >= 40
+    assert leakage.leaks(D, "d", "t", I.limit(0), "i", "t").count() == 0
+
+
+def test_exact_boundary(spark):
+    item = "".join(chr(0x4E00 + i) for i in range(100))
+    docs = spark.createDataFrame([(1, "x" + item[30:69] + "y"), (2, "x" + item[31:71] + "y")], "d long, t string")
+    r = leakage.leaks(docs, "d", "t", spark.createDataFrame([(5, item)], "i long, t string"), "i", "t").collect()
+    assert [(x.doc_id, x.doc_start, x.doc_end, x.item_start, x.run_chars) for x in r] == [(2, 1, 41, 31, 40)]
+
+
+# --- quality --------------------------------------------------------------------------------------------------
+
+PROSE_EN = "The crew lost some drilling fluid near the base of the hole but finished it on the same day. "
+PROSE_JA = "深度四十二メートル付近から茶褐色を呈する粗砂に変わり、貝殻片を混入していると推定した。"
+
+
+def test_kinds(spark):
+    rng = random.Random(2)
+    rows = [(i, (PROSE_EN if i % 2 else PROSE_JA) * rng.randint(1, 6)) for i in range(60)]
+    special = {
+        100: ("list", "Check list\n" + "\n".join(f"- sandy silt {i}" for i in range(8))), 101: ("list", "\n".join(f"項目{i}: 粒度試験" for i in range(8))),
+        102: ("table", "| a | b |\n| --- | --- |\n" + "| 1.15 | 盛土 |\n" * 6), 103: ("table", "\n".join("12.3  4.56  7.8  9.0" for _ in range(8))),
+        104: ("junk", "\n".join(PROSE_JA)), 105: ("junk", "page " * 120), 106: ("junk", PROSE_JA.encode().decode("latin-1")),
+        107: (None, PROSE_EN.replace("drilling", "drilling\n") * 2), 108: (None, "# 朝坂\n" + PROSE_JA * 3), 109: (None, PROSE_JA * 4 + "\n- 盛土\n- 粗砂\n" + PROSE_JA),
+    }
+    df = spark.createDataFrame(rows + [(k, t) for k, (_, t) in special.items()] + [(200, None), (201, " \n"), (202, "")], "id long, t string")
+    got = {r.id: r for r in quality.judge_documents(df, "id", "t").collect()}
+    assert {k: got[k].doc_kind for k in special} == {k: v or "prose" for k, (v, _) in special.items()}
+    assert not {200, 201, 202} & got.keys()
+    assert all(got[i].doc_kind == "prose" for i in range(60))
+    assert all(0 <= r.n_chars_pct <= 1 for r in got.values())
+
+
+def test_statistics_empty(spark):
+    df = spark.createDataFrame([], "id long, t string")
+    assert quality.judge_documents(df, "id", "t").count() == 0
+
+
+# --- mixing -----------------------------------------------------------------------------------------------------
+
+
+def brute_seats(shares, seats, caps):
+    got = [0] * len(shares)
+    for _ in range(seats):
+        can = [i for i in range(len(shares)) if got[i] < caps[i] and shares[i] > 0]
+        if not can:
+            break
+        got[max(can, key=lambda i: (shares[i] / (2 * got[i] + 1), -i))] += 1
+    return got
+
+
+def test_apportionment():
+    rng = random.Random(1)
+    for _ in range(500):
+        n = rng.randint(1, 7)
+        shares = [rng.choice([0, 1, 2, 0.5, rng.random()]) for _ in range(n)]
+        caps = [rng.choice([0, 2, 30, 500]) for _ in range(n)]
+        seats = rng.randint(0, 150)
+        if any(shares):
+            assert mixing.sainte_lague(shares, seats, caps) == brute_seats(shares, seats, caps)
+
+
+def test_mix(spark):
+    rng = random.Random(3)
+    rows = [(i, s, rng.randint(20, 60)) for i, s in enumerate(["big"] * 900 + ["small"] * 60 + ["other"] * 50)] + [(5000, None, 30), (5001, "big", 0)]
+    tokens = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("big", 0.5, 1.0), ("small", 0.4, 2.5), ("none", 0.1, 2.0)], "source string, target_share double, max_repeats double")
+    chosen, report = mixing.mix(tokens, targets)
+    r = {x.source: x for x in report.collect()}
+    assert abs(r["big"].reached_share - 5 / 9) < 0.01 and abs(r["small"].reached_share - 4 / 9) < 0.01 and r["none"].used_tokens == 0
+    assert r["small"].reached_repeats <= 2.5 and r["big"].reached_repeats <= 1.0
+    c = chosen.collect()
+    assert {x.source for x in c} == {"big", "small"} and max(x.repeats for x in c if x.source == "small") <= 3 and all(x.repeats == 1 for x in c if x.source == "big")
+    again = {(x.doc_id, x.repeats) for x in mixing.mix(tokens.repartition(5), targets)[0].collect()}
+    assert again == {(x.doc_id, x.repeats) for x in c}
+    assert mixing.mix(tokens.limit(0), targets)[0].count() == 0
+
+
+def test_token_counts(spark):
+    df = spark.createDataFrame([(1, "s", "hello world"), (2, "s", None), (3, None, " "), (4, "s", "漢字" * 1000)], "doc_id long, source string, text string")
+    n = {r.doc_id: r.n_tokens for r in mixing.count_tokens(df, "doc_id", "source", "text").collect()}
+    assert n[2] == n[3] == 0 and 1 < n[1] < 6 and n[4] > 500
+
+
+# --- linkage ------------------------------------------------------------------------------------------------------
+
+
+def test_parsing():
+    assert [linkage.depth_of(x) for x in ("２．15", "GL-2.15m", "215cm", "2.15～2.45", None, "-")] == [2.15, 2.15, 2.15, 2.15, None, None]
+    assert [linkage.date_of(x) for x in ("H30.3.1", "2016年1月5日", "R1.11.3", "2019/4/3", None, "x")] == ["2018-03-01", "2016-01-05", "2019-11-03", "2019-04-03", None, None]
+    assert [linkage.label_of(x) for x in ("BV-2孔", "2号孔", "R4ーBー2", "Ｎo.4", None)] == [("bv", 2), ("", 2), ("r4b", 2), ("", 4), (None, None)]
+    assert linkage.blows_of("9,12,23") == ([9, 12, 23], 44) and linkage.blows_of("計42") == (None, 42) and linkage.blows_of(None) == (None, None)
+    assert linkage.number_of("T.P.+115.89m") == 115.89 and linkage.number_of("-") is None
+
+
+def test_row_step_is_the_minimum():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    for _ in range(50):
+        n = int(rng.integers(1, 5))
+        m, w, v = rng.random(n), rng.random(n) * 5 + 0.1, rng.random(n) * 1.5
+        x = linkage._by_row(m, w, v, np.array([0]), 4.0)
+        f = lambda y: (w * (y - m) ** 2 + 2 * (y - v) ** 2).sum()
+        assert x.sum() <= 1 + 1e-6 and (x >= 0).all()
+        for _ in range(300):
+            y = rng.random(n)
+            if y.sum() <= 1:
+                assert f(x) <= f(y) + 1e-6
+
+
+LOG = "spt_id long, survey_name string, hole_name string, lat double, lon double, collar_elev double, test_date date, start_depth double, blows_10 int, blows_20 int, blows_30 int, n_value int, penetration_cm int, soil_name string"
+EXT = "ext_id long, sheet_title string, hole_label string, lat double, lon double, elev_text string, date_text string, depth_text string, blows_text string, n_text string, penetration_text string, soil_text string"
+
+
+def test_link(spark):
+    import datetime as dt
+
+    day = dt.date(2018, 3, 1)
+    log = [(1, "菱沢台第一共同溝築造工事", "BV-1", 41.7, 143.8, 52.49, day, 1.15, 7, 9, 2, 18, 30, "細砂"), (2, "菱沢台第一共同溝築造工事", "BV-1", 41.7, 143.8, 52.49, day, 2.15, 3, 7, 2, 12, 30, "細砂"),
+           (3, "菱沢台第一共同溝築造工事", "BV-2", 41.7004, 143.8, 55.38, dt.date(2016, 1, 5), 1.15, 0, 1, 0, 1, 30, None), (4, None, None, None, None, None, None, None, None, None, None, None, None, None)]
+    ext = [(10, "菱沢台第一共同溝築造工亊", "BV-1孔", None, None, "52.5", "H30.3.1", "1.16", "7/9/2", "N=18", None, "細砂"), (11, "柱状図", "1号孔", 41.7, 143.8, "-", None, "215cm", None, "12回", "30cm", None),
+           (12, "菱沢台第一共同溝築造工事", "BV-9", 41.7010, 143.8, "60.1", "2011/1/1", "1.15", "1,1,1", "3", None, None), (13, None, None, None, None, None, None, None, None, None, None, None), (14, "菱沢台第一共同溝築造工事", "BV-1", 41.7, 143.8, "52.49", None, "1.15", None, "18", None, None)]
+    L, E = spark.createDataFrame(log, LOG), spark.createDataFrame(ext, EXT)
+    got = linkage.link(L, E).collect()
+    assert {(r.spt_id, r.ext_id) for r in got} == {(1, 10), (2, 11), (1, 14)}
+    assert all(0.5 < r.confidence <= 1 for r in got)
+    assert linkage.link(L.limit(0), E).count() == 0 and linkage.link(L, E.limit(0)).count() == 0
