@@ -7,6 +7,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _cells(line: str) -> list[str]:
@@ -37,6 +38,6 @@ def to_html(text: str | None) -> str | None:
     return "\n".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def markdown_html(s: pd.Series) -> pd.Series:
     return s.map(to_html)

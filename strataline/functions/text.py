@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Characters of the normal form.
 HYPHENS = "‐‑‒–—―−－ｰー"
@@ -36,7 +37,7 @@ def normal_form(text: str) -> str:
     return t
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: unicodedata.normalize("NFKC", t) if t is not None else None)
 
@@ -86,7 +87,7 @@ def strip_fence(x: Column) -> Column:
     return F.when(F.startswith(x, F.lit("```")), F.array_join(body, "\n")).otherwise(x)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def display_width(s: pd.Series) -> pd.Series:
     """Columns a text takes: two for wide characters, one for others; null counts 0."""
     return s.map(lambda t: sum(2 if unicodedata.east_asian_width(ch) in "FW" else 1 for ch in t) if t else 0).astype("int32")

@@ -1,0 +1,151 @@
+"""Drift, packed fields, nested records."""
+
+import json
+import random
+
+from strataline.functions import jsonx
+from strataline.operators import drift, nested, packed
+from strataline.operators.dedupe import first_delivery
+
+
+def records(spark, rows):
+    return spark.createDataFrame([(i, s, b, f, json.dumps(d, ensure_ascii=False) if isinstance(d, (dict, list)) else d, None) for i, (s, b, f, d) in enumerate(rows)],
+                                 "result_id long, series_id string, batch_no int, file string, data string, loaded_at timestamp")
+
+
+def changes(spark, rows):
+    return sorted((r.series_id, r.batch_no, r.change_kind, r.label, r.detail) for r in drift.label_changes(records(spark, rows)).collect())
+
+
+def test_changes(spark):
+    rows = []
+    for f in "pqr":
+        rows.append(("s", 1, f, {"h": {"a": f + "1", "b": "2", "n": "3", "gone": "z" + f}}))
+        rows.append(("s", 2, f, {"h": {"b": {"v": "2"}, "n": 3, "new": "y"}, "k": {"alpha": f + "1"}}))
+    got = changes(spark, rows)
+    assert ("s", 2, "renamed", "h.a", "k.alpha") in got
+    assert ("s", 2, "retyped", "h.b", "object") in got and ("s", 2, "retyped", "h.n", "number") in got
+    assert ("s", 2, "removed", "h.gone", "") in got and ("s", 2, "added", "h.new", "") in got
+    assert ("s", 2, "added", "k", "") in got
+    assert not any(r[3].startswith("h.b.") for r in got)
+
+
+def test_changes_edge_cases(spark):
+    assert changes(spark, [("s", 1, "f", None), ("s", 2, "f", "{broken"), ("s", 3, "f", "")]) == []
+    assert drift.label_changes(records(spark, [("s", 1, "f", {"a": 1})]).limit(0)).count() == 0
+    # a container that moves is reported once, not with what is below it
+    rows = [("s", b, f, {("old" if b == 1 else "new"): [{"x": f, "y": "7" + f}]}) for b in (1, 2) for f in "abc"]
+    assert changes(spark, rows) == [("s", 2, "renamed", "old", "new")]
+    # a null value keeps a label in force and does not retype it
+    assert changes(spark, [("s", 1, "f", {"a": "1"}), ("s", 2, "f", {"a": None})]) == []
+
+
+def test_notation_change(spark):
+    rows = [("s", 1, "a.b[0].c"), ("s", 1, "a.b"), ("s", 2, "a.b[1].c"), ("s", 2, "['a']['b']"), ("s", 3, "['a']['b'][0]"), ("s", 3, "['a']['c']"), ("s", 3, None), ("s", 4, "a/b/0")]
+    df = spark.createDataFrame(rows, "series_id string, batch_no int, field string")
+    assert sorted(tuple(r) for r in drift.notation_changes(df, "series_id", "batch_no", "field").collect()) == [("s", 3), ("s", 4)]
+
+
+def test_consistent_table(spark):
+    rows = [("s", b, f, {("a" if b == 1 else "alpha"): {"p": 1.5, "q": "2,5x"}[f], "l": [{"v": "１"}, {"v": 2}]}) for b in (1, 2) for f in "pq"]
+    r = records(spark, rows * 1)
+    cols = drift.consistent_columns(r)
+    assert {c.label: c.many for c in cols} == {"a": False, "l.v": True} or {c.label for c in cols} == {"alpha", "l.v"}
+    out = drift.consistent_table(r, cols).collect()
+    assert len(out) == 4 and all(x["l.v"] == [1.0, 2.0] for x in out)
+    assert sum(x.n_failed for x in drift.cast_failures(r, cols).collect()) == 0
+
+
+def test_dedupe(spark):
+    df = spark.createDataFrame([(1, "b", 2), (1, "a", 1), (None, "x", 1), (None, "x", 1)], "k int, v string, t int")
+    assert sorted((r.k or 0, r.v) for r in first_delivery(df, ["k"], ["t"]).collect()) == [(0, "x"), (0, "x"), (1, "a")]
+
+
+def test_read_document():
+    assert jsonx.read_document('text ```json\n{"a": 1}\n``` more') == {"a": 1}
+    assert jsonx.read_document('see {the} record: {"a": [1]} end') == {"a": [1]}
+    assert jsonx.read_document('{"a": [1, {"b": 2}') is None
+    assert jsonx.read_document('"{\\"a\\": 1}"') == {"a": 1}
+    assert jsonx.read_document(None) is None and jsonx.read_document("") is None and jsonx.read_document("12") is None
+
+
+def items(spark, cells, kind="k"):
+    df = spark.createDataFrame([(i, kind, c, None) for i, c in enumerate(cells)], "id long, kind string, xml string, llm string")
+    out = {}
+    for r in packed.unpack(df, "id", "kind", ["xml", "llm"]).collect():
+        out.setdefault(r.id, []).append((r.pos, r.item))
+    return [[v for _, v in sorted(out.get(i, []))] for i in range(len(cells))]
+
+
+def test_packed(spark):
+    rng = random.Random(1)
+    words = ["円礫", "木片", "貝殻片", "酸化鉄", "軽石粒", "粘土塊"]
+    noise = ["、".join(rng.sample(words, rng.randint(2, 4))) for _ in range(60)] + [rng.choice([" / ", ",", "・", "\n"]).join(rng.sample(words, 2)) for _ in range(60)]
+    special = {
+        "(円礫, 木片)": ["円礫", "木片"], '["円礫", "木片\\"大\\""]': ["円礫", '木片"大"'], "「円礫、木片」": [], "「円礫/木片」/「酸化鉄」": ["円礫/木片", "酸化鉄"],
+        "木片（黄褐、細粒）、円礫": ["木片（黄褐、細粒）", "円礫"], "、円礫、、木片、": ["円礫", "木片"], '"木片""大"""|円礫': ['木片"大"', "円礫"], "円礫": [], "": [],
+        "円礫\\n木片, 酸化鉄": ["円礫", "木片", "酸化鉄"], "木片（黄褐、細粒）": [],
+    }
+    got = items(spark, noise + list(special))[len(noise):]
+    assert dict(zip(special, got, strict=True)) == special
+
+
+def test_packed_numbers_and_round_trip(spark):
+    rng = random.Random(3)
+    lists = [[f"{rng.randint(1, 30)}.{rng.randint(0, 9)}" for _ in range(rng.randint(2, 5))] for _ in range(80)]
+    cells = [rng.choice([", ", "; ", " / ", "|", "および", "\t", "<br>"]).join(x) for x in lists]
+    got = items(spark, cells + ["7.4;6,820", "8,349"])
+    assert got[:80] == lists and got[80] == ["7.4", "6,820"] and got[81] == []
+
+
+def test_packed_empty(spark):
+    df = spark.createDataFrame([], "id long, kind string, xml string, llm string")
+    assert packed.unpack(df, "id", "kind", ["xml", "llm"]).count() == 0
+
+
+def brute_paths(doc, arrays):
+    out = []
+
+    def walk(label, path, up, v):
+        if isinstance(v, str):
+            v = jsonx.open_string(v)
+        if isinstance(v, dict):
+            if path:
+                out.append((up, path))
+            for k, x in v.items():
+                y = jsonx.open_string(x) if isinstance(x, str) else x
+                lab = f"{label}.{k}" if label else k
+                p = f"{path}.{k}" if path else k
+                walk(lab, p + "[0]" if isinstance(y, dict) and lab in arrays else p, path, y)
+        elif isinstance(v, list):
+            for i, x in enumerate(v):
+                walk(label, f"{path}[{i}]", up, x)
+
+    walk("", "", "", doc)
+    return out
+
+
+def test_nested(spark):
+    rng = random.Random(4)
+
+    def make(d=0):
+        r = rng.random()
+        if d < 4 and r < 0.5:
+            return {k: make(d + 1) for k in rng.sample(["a", "b", "c[", "d"], rng.randint(0, 3))}
+        if d < 4 and r < 0.7:
+            return [make(d + 1) for _ in range(rng.randint(0, 3))]
+        return rng.choice(["x", "", None, 1, '{"q": {"r": 1}}', '[{"s": 2}]', "{cut"])
+
+    docs = [{"a": make(1), "b": make(1)} for _ in range(200)]
+    rows = [(str(i), json.dumps(d)) for i, d in enumerate(docs)] + [("null", None), ("cut", '{"a": {"b": 1}, "c": [')]
+    df = spark.createDataFrame(rows, "k string, data string")
+    arrays = nested.array_labels(df, "data")
+    nodes = nested.node_table(df, "k", "data").collect()
+    got = sorted((n.rec_key, n.parent_path, n.path) for n in nodes if n.depth > 0)
+    assert got == sorted((str(i), a, b) for i, d in enumerate(docs) for a, b in brute_paths(d, arrays))
+    by = {(n.rec_key, n.pre): n for n in nodes}
+    for n in nodes:
+        if n.parent_pre is not None:
+            up = by[n.rec_key, n.parent_pre]
+            assert up.pre < n.pre and n.post < up.post
+    assert nested.node_table(df.limit(0), "k", "data", arrays=set()).count() == 0
