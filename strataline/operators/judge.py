@@ -33,18 +33,19 @@ def alignment(truth: DataFrame, pred: DataFrame, run: list[str]) -> DataFrame:
     """(run, doc, truth_idx, pred_idx) of the documents both sides have. truth has no run columns."""
     lines = pred.where("idx is not null")
     per_run = truth.where("idx is not null").join(lines.select(*run, "doc").distinct(), "doc")
-    return greedy_pairs(overlap_scores(per_run, lines, [*run, "doc"]), [*run, "doc"])
+    # the document number leads the keys: sorts compare it by its prefix, texts only on ties
+    return greedy_pairs(overlap_scores(per_run, lines, ["doc", *run]), ["doc", *run])
 
 
 def truth_pass(truth: DataFrame, pred: DataFrame, pairs: DataFrame, run: list[str]) -> DataFrame:
     """Pass 1: one row per truth leaf with a non-empty normal form, for every run that has the document."""
     docs = pred.select(*run, "doc").distinct()
     t = truth.where("norm <> ''").join(docs, "doc").withColumnsRenamed({"norm": "t_norm", "value": "xml"})
-    t = t.join(pairs.withColumnRenamed("truth_idx", "idx"), [*run, "doc", "idx"], "left")
+    t = t.join(pairs.withColumnRenamed("truth_idx", "idx"), ["doc", "idx", *run], "left")
     # -1 stands for "outside repeated groups" so that the leaf join stays an equi-join; -2 matches nothing
     at = F.when(F.col("idx").isNull(), -1).otherwise(F.coalesce("pred_idx", F.lit(-2)))
     p = pred.select(*run, "doc", F.coalesce("idx", F.lit(-1)).alias("__at"), "rel", F.col("norm").alias("p_norm"), F.col("value").alias("llm_value"))
-    j = t.withColumn("__at", at).join(p, [*run, "doc", "__at", "rel"], "left")
+    j = t.withColumn("__at", at).join(p, ["doc", "__at", "rel", *run], "left")
     status, kind = status_of(F.col("t_norm"), F.col("p_norm"))
     return j.select(*run, "doc", F.lit(1).alias("pass"), "idx", "fno", "rel", status.alias("status"), kind.alias("error_type"), "xml", F.when(status == "not_extracted", "").otherwise(F.col("llm_value")).alias("llm_value"))
 
