@@ -1,0 +1,50 @@
+"""From folders to reports: labels, judging, metrics and tables of every run in one plan."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strataline.functions import paths
+from strataline.operators import documents, metrics, nested
+from strataline.session import cut
+from strataline.sources import files
+
+RUN = ["llm", "parse_type"]
+
+
+def label_universe(results: DataFrame, max_labels: int = 200_000) -> list[str]:
+    """Every index-free leaf label of all results (schema-sized; ValueError beyond ``max_labels``)."""
+    keyed = results.withColumn("__k", F.lit("r"))
+    leaves = nested.node_table(keyed, "__k", "data", arrays=set(), leaves=True).where("kind = 'leaf'")
+    rows = leaves.select(paths.strip_indices(F.col("path")).alias("label")).distinct().limit(max_labels + 1).collect()
+    if len(rows) > max_labels:
+        raise ValueError(f"more than {max_labels} labels")
+    return sorted(r["label"] for r in rows)
+
+
+def judged(results: DataFrame, truth: DataFrame) -> DataFrame:
+    """Details of all runs. Results without truth are left out; truth without a result is not asked for."""
+    pairs = results.join(truth.select("file", "record"), "file")
+    return documents.judge_documents(pairs, [*RUN, "file"], "record", "data", label_universe(results)).withColumnRenamed("file", "doc").withColumn("idx", F.lit(None).cast("int")).withColumnRenamed("seq", "fno")
+
+
+def run(spark: SparkSession, root: str, out: str, llms: list[str] | None = None, reports: bool = True) -> dict[str, DataFrame]:
+    """Judge results_<llm>/<parse_type>/*.json under ``root`` against xml/*.xml; write TSV reports to ``out``."""
+    results = files.scan_results(spark, root, llms)
+    truth = files.scan_xml(spark, f"{root}/xml")
+    d = cut(judged(results, truth))
+    done = results.join(truth.select("file"), "file", "left_semi").select(*RUN, F.col("file").alias("doc"), "retry_count")
+    names = [f"{r['llm']}_{r['parse_type']}" for r in files.discover_runs(results).collect()]
+    tables = {
+        "overall": metrics.overall(d, done, RUN).orderBy(F.desc("f1"), "llm", F.concat("parse_type", F.lit(".json"))).select(
+            *RUN, "files", "correct", "incorrect", "not_extracted", "evaluated", "precision", "recall", "f1", "total_retries", "retried_files"),
+        "subsection": metrics.metrics(d, [*RUN, "section"]).orderBy(F.desc("f1"), "section"),
+        "pivot": metrics.precision_pivot(d, RUN, names).orderBy("section"),
+        "failed_patterns": metrics.failed_patterns(d, RUN).orderBy(*RUN, "section", "rank"),
+        "error_types": metrics.error_breakdown(d).orderBy((F.col("parse_type") == "全体").cast("int"), *RUN),
+    }
+    if reports:
+        for name, t in tables.items():
+            files.write_tsv(t, f"{out}/{name}")
+    return tables
