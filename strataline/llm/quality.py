@@ -34,7 +34,7 @@ STATISTICS = [
 TAIL = 4.0
 
 _CJK = "぀-ヿ㐀-鿿ｦ-ﾟ々"
-_WORD = re.compile(rf"[A-Za-zÀ-ɏ][A-Za-zÀ-ɏ'’]*|\d+(?:[.,]\d+)*|[{_CJK}]")
+_FIGURE = re.compile(r"\d+(?:[.,]\d+)*")
 _LATIN = re.compile(r"[A-Za-zÀ-ɏ]+(?:['’][A-Za-z]+)?")
 _KANA = re.compile(r"[ぁ-ん]")
 _HAN = re.compile(rf"[{_CJK}]")
@@ -44,6 +44,10 @@ _TAGS = re.compile(r"</?(?:table|thead|tbody|tr|td|th)\b[^>]*>", re.I)
 _COORD = re.compile(r"^\s*(?:\[?\(?\s*x\s*[=:]|=+\s*page\b|[\[(]\s*\d+(?:\.\d+)?\s*,\s*\d+)", re.I)
 _RULE = re.compile(r"^[\s|:+\-=_─━┼┬┴│┃]+$")
 _NUMBER = re.compile(r"^[-+]?\d[\d.,/%-]*[A-Za-z㎜㎝]{0,3}$")
+_DIGIT = re.compile(r"\d")
+_SYMBOL = re.compile(r"[^\w\s、。，．,.()（）「」]|_")
+_WORDLIKE = re.compile(r"[^\W_]")
+_WIDE = re.compile(r"[⺁-\U0010ffff]")
 _GAPS = re.compile(r"\S(?:\s{2,}|　+)\S")
 #: Marks of lost characters; question marks and tildes only where text goes on at both sides.
 _NOISE = re.compile(r"[�■-□〓\x00-\x08\x0b\x0e-\x1f\x80-\x9f-]|(?<=[^\s?~.!)\d])[?~？～〜]+(?=[^\s?~!\d])")
@@ -71,9 +75,9 @@ def line_kind(line: str) -> str:
         return "table"
     if line.count("|") >= 2 or line.count("\t") >= 1 or line.count("│") >= 2:
         return "table"
-    width = sum(2 if ch > "⺀" else 1 for ch in line.strip())
-    if _is_prose(line):
-        return "list" if width <= 60 and _MARKER.match(line) else "prose"
+    bare = line.strip()
+    if _is_prose(bare):
+        return "list" if _MARKER.match(line) and len(bare) + len(_WIDE.findall(bare)) <= 60 else "prose"
     tokens = line.split()
     if tokens and sum(bool(_NUMBER.match(t)) for t in tokens) * 2 > len(tokens) and len(tokens) > 1:
         return "table"
@@ -84,15 +88,15 @@ def line_kind(line: str) -> str:
         return "table"
     if _MARKER.match(line) or _KEYED.match(line):
         return "list"
-    return "list" if width <= 60 and any(ch.isalnum() for ch in line) else "other"
+    return "list" if len(bare) + len(_WIDE.findall(bare)) <= 60 and _WORDLIKE.search(bare) else "other"
 
 
 def statistics_of(text: str) -> tuple[str, dict[str, float]]:
     """(language by script, statistics) of one text that is not blank."""
     n = len(text)
-    solid = sum(not ch.isspace() for ch in text)
+    tokens = text.split()
+    solid = sum(map(len, tokens))
     lines = [x for x in text.splitlines() if x.strip()]
-    words = _WORD.findall(text)
     latin = _LATIN.findall(text)
     han = len(_HAN.findall(text))
     letters = sum(map(len, latin))
@@ -110,16 +114,17 @@ def statistics_of(text: str) -> tuple[str, dict[str, float]]:
         ends += x.rstrip()[-1] in _END
         single += size * (size <= 1)
     size = max(1, sum(share.values()))
-    tokens = text.split()
     alone = sum(len(t) == 1 and t.isalpha() for t in tokens)
     alone_share = alone / max(1, len(tokens)) if len(tokens) >= 8 else 0.0
-    noise = sum(sum(map(len, _NOISE.findall(x.lstrip()[1:]))) for x in lines) + sum(map(len, _MOJIBAKE.findall(text)))
+    noise = sum(map(len, _MOJIBAKE.findall(text)))
+    if _NOISE.search(text):  # a mark at the head of a line is a bullet
+        noise += sum(sum(map(len, _NOISE.findall(x.lstrip()[1:]))) for x in lines)
     raw = text.encode("utf-8", "surrogatepass")
-    symbols = sum(not ch.isalnum() and not ch.isspace() and ch not in "、。，．,.()（）「」" for ch in text)
+    symbols = len(_SYMBOL.findall(text))
     return lang, {
-        "n_chars": n, "n_lines": len(lines), "n_words": len(words),
+        "n_chars": n, "n_lines": len(lines), "n_words": len(latin) + han + len(_FIGURE.findall(text)),
         "mean_word_length": sum(map(len, tokens)) / max(1, len(tokens)),
-        "symbol_ratio": symbols / max(1, solid), "digit_ratio": sum(ch.isdigit() for ch in text) / max(1, solid),
+        "symbol_ratio": symbols / max(1, solid), "digit_ratio": len(_DIGIT.findall(text)) / max(1, solid),
         "common_word_share": common, "punctuated_line_share": ends / max(1, len(lines)), "short_line_share": short / size,
         "list_share": share["list"] / size, "table_share": share["table"] / size, "noise_share": noise / max(1, solid),
         "single_char_share": max(single / size, alone_share),
