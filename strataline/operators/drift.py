@@ -351,25 +351,39 @@ def raw_values(records: DataFrame, columns: list[Column], c: Drift = Drift()) ->
     return slim.mapInArrow(read, f"`{c.record}` bigint, `{c.series}` string, `{c.batch}` int, `{c.file}` string, raw map<string,array<struct<json_type:string,text:string>>>")
 
 
+def column_names(columns: list[Column], taken: tuple[str, ...] = ("result_id", "series_id", "batch_no", "file")) -> dict[str, str]:
+    """Label -> column name: dots become '__'; names that differ only in case, or clash with an id, get a number."""
+    used, out = {x.lower() for x in taken}, {}
+    for col in columns:
+        base = name = col.label.replace(".", "__")
+        n = 1
+        while name.lower() in used:
+            n += 1
+            name = f"{base}_{n}"
+        used.add(name.lower())
+        out[col.label] = name
+    return out
+
+
 def _clean(x):
     return F.trim(F.translate(x, "０１２３４５６７８９．－＋", "0123456789.-+"))
 
 
 def consistent_table(records: DataFrame, columns: list[Column], c: Drift = Drift()) -> DataFrame:
-    """One row per readable record, the same typed columns for all batches.
+    """One row per readable record, the same typed columns for all batches, named by ``column_names``.
 
     Numbers are double, everything else string; labels inside arrays become arrays in document order.
     A value that does not fit its type is null here and counted by ``cast_failures``.
     """
     raw = raw_values(records, columns, c)
-    cols = []
+    cols, names = [], column_names(columns)
     for col in columns:
         got = F.col("raw")[col.label]
         if col.numeric:
             got = F.transform(got, lambda v: _clean(v["text"]).try_cast("double"))
         else:
             got = F.transform(got, lambda v: v["text"])
-        cols.append((got if col.many else F.try_element_at(got, F.lit(1))).alias(col.label))
+        cols.append((got if col.many else F.try_element_at(got, F.lit(1))).alias(names[col.label]))
     return raw.select(c.record, c.series, c.batch, c.file, *cols)
 
 

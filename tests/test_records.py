@@ -52,7 +52,9 @@ def test_consistent_table(spark):
     cols = drift.consistent_columns(r)
     assert {c.label: c.many for c in cols} == {"a": False, "l.v": True} or {c.label for c in cols} == {"alpha", "l.v"}
     out = drift.consistent_table(r, cols).collect()
-    assert len(out) == 4 and all(x["l.v"] == [1.0, 2.0] for x in out)
+    assert len(out) == 4 and all(x["l__v"] == [1.0, 2.0] for x in out)
+    clash = [drift.Column(x, (x,), False, False) for x in ("file", "a.b", "A.b")]
+    assert drift.column_names(clash) == {"file": "file_2", "a.b": "a__b", "A.b": "A__b_2"}
     assert sum(x.n_failed for x in drift.cast_failures(r, cols).collect()) == 0
 
 
