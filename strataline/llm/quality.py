@@ -3,8 +3,10 @@
 Method: every document gets a row of statistics (one pass, whole text). Each statistic is summed up per
 language in a mergeable quantile sketch (KLL, built in the JVM, merged across partitions); the sketches
 give medians, quartiles and ranks, with which values become percentiles and robust z-scores, and tails are
-flagged. The kind of a text comes from the shares of its lines and characters that are list, table or noise,
-and from tails that no prose of the language reaches.
+flagged. Medians and quartiles of z are those of the documents that stand mostly in prose lines, else a large
+share of other kinds widens the scale until no value of a bounded statistic lies in a tail. The kind of a text
+comes from the shares of its lines and characters that are list, table or noise, from tails that no prose of
+the language reaches, and from what cannot be read in any corpus (one unit over and over, unbroken runs).
 """
 
 from __future__ import annotations
@@ -29,9 +31,12 @@ COMMON_EN = frozenset(
 STATISTICS = [
     "n_chars", "n_lines", "n_words", "mean_word_length", "symbol_ratio", "digit_ratio", "common_word_share", "punctuated_line_share",
     "short_line_share", "list_share", "table_share", "noise_share", "single_char_share", "packed_ratio",
+    "prose_share", "repeats",
 ]
 #: Distance from the median, in robust standard deviations, from which a value lies in a tail.
 TAIL = 4.0
+#: Times from which a text that is one unit over and over is endless repetition.
+ENDLESS = 8
 
 _CJK = "぀-ヿ㐀-鿿ｦ-ﾟ々"
 _FIGURE = re.compile(r"\d+(?:[.,]\d+)*")
@@ -91,6 +96,18 @@ def line_kind(line: str) -> str:
     return "list" if len(bare) + len(_WIDE.findall(bare)) <= 60 and _WORDLIKE.search(bare) else "other"
 
 
+def repeats_of(text: str) -> float:
+    """How often the shortest unit follows itself to make up the text (the last one may be cut off); 1 for none."""
+    n, k = len(text), 0
+    border = [0] * n
+    for i in range(1, n):
+        while k and text[i] != text[k]:
+            k = border[k - 1]
+        k += text[i] == text[k]
+        border[i] = k
+    return n / (n - k) if n else 1.0
+
+
 def statistics_of(text: str) -> tuple[str, dict[str, float]]:
     """(language by script, statistics) of one text that is not blank."""
     n = len(text)
@@ -120,6 +137,7 @@ def statistics_of(text: str) -> tuple[str, dict[str, float]]:
     if _NOISE.search(text):  # a mark at the head of a line is a bullet
         noise += sum(sum(map(len, _NOISE.findall(x.lstrip()[1:]))) for x in lines)
     raw = text.encode("utf-8", "surrogatepass")
+    packed = len(zlib.compress(raw, 1)) / max(1, len(raw)) if len(raw) >= 120 else 1.0
     symbols = len(_SYMBOL.findall(text))
     return lang, {
         "n_chars": n, "n_lines": len(lines), "n_words": len(latin) + han + len(_FIGURE.findall(text)),
@@ -128,7 +146,9 @@ def statistics_of(text: str) -> tuple[str, dict[str, float]]:
         "common_word_share": common, "punctuated_line_share": ends / max(1, len(lines)), "short_line_share": short / size,
         "list_share": share["list"] / size, "table_share": share["table"] / size, "noise_share": noise / max(1, solid),
         "single_char_share": max(single / size, alone_share),
-        "packed_ratio": len(zlib.compress(raw, 1)) / max(1, len(raw)) if len(raw) >= 120 else 1.0,
+        "packed_ratio": packed, "prose_share": share["prose"] / size,
+        # what repeats ENDLESS times packs to under 0.35; wrapping does not hide it
+        "repeats": repeats_of("".join(tokens)) if packed < 0.35 or len(raw) < 120 else 1.0,
     }
 
 
@@ -159,18 +179,23 @@ def language_sketches(stats: DataFrame, k: int = 400) -> DataFrame:
     return stats.groupBy("script_lang").agg(F.count("*").alias("n_docs"), *[F.kll_sketch_agg_double(s, F.lit(k)).alias(f"{s}__sketch") for s in STATISTICS])
 
 
+def _quantiles(sketches: DataFrame, suffix: str) -> DataFrame:
+    ranks = F.array(*[F.lit(i / 100) for i in range(101)])
+    return sketches.select("script_lang", *[F.kll_sketch_get_quantile_double(f"{s}__sketch", ranks).alias(f"{s}{suffix}") for s in STATISTICS])
+
+
 def with_distribution(stats: DataFrame, key: str) -> DataFrame:
     """``stats`` with, per statistic, its percentile and robust z-score in its language, and ``tails``.
 
-    z is (value - median) / (interquartile range / 1.349); where at least half of a language's values are
-    equal the range is taken as at least a hundredth of the median, or 0.01. ``tails`` lists the statistics
-    beyond ``TAIL`` with their side. There are as many sketch rows as scripts told apart (three at most),
-    so they are joined by broadcast.
+    z is (value - median) / (interquartile range / 1.349), median and range being those of the language's
+    documents that stand mostly in prose lines (of all its documents if it has none); where at least half of
+    these values are equal the range is taken as at least a hundredth of the median, or 0.01. Percentiles
+    are among all documents of the language. ``tails`` lists the statistics beyond ``TAIL`` with their side.
+    There are as many sketch rows as scripts told apart (three at most), so they are joined by broadcast.
     """
-    sk = language_sketches(stats)
-    ranks = F.array(*[F.lit(i / 100) for i in range(101)])
-    wide = sk.select("script_lang", *[F.kll_sketch_get_quantile_double(f"{s}__sketch", ranks).alias(f"{s}__q") for s in STATISTICS])
-    at = {s: (lambda i, c=f"{s}__q": F.col(c)[i]) for s in STATISTICS}
+    wide = _quantiles(language_sketches(stats), "__q")
+    wide = wide.join(F.broadcast(_quantiles(language_sketches(stats.where("prose_share > 0.5")), "__p")), "script_lang", "left")
+    at = {s: (lambda i, s=s: F.coalesce(f"{s}__p", f"{s}__q")[i]) for s in STATISTICS}
     j = stats.join(F.broadcast(wide), "script_lang")
     z = {s: (F.col(s) - at[s](50)) / F.greatest((at[s](75) - at[s](25)) / 1.349, F.abs(at[s](50)) / 100, F.lit(0.01)) for s in STATISTICS}
 
@@ -190,14 +215,18 @@ def kinds(dist: DataFrame) -> DataFrame:
 
     Noise comes first (a table of broken characters cannot be read either), then what most characters
     stand in. Texts without structure are junk if their share of common words lies in the lower tail of
-    their language and under half of its usual value, or if they are endless repetition.
+    their language's prose and under half of its usual value, if they are endless repetition, or if they
+    are unbroken runs of Latin letters that no language's words reach (encoded data).
     """
     far = F.array_contains("tails", "common_word_share-")
-    rare_words = far & (F.col("common_word_share") < 0.17)
+    unbroken = (F.col("script_lang") == "en") & (F.col("mean_word_length") > 25)
+    rare_words = (far | unbroken) & (F.col("common_word_share") < 0.17)
+    packed = F.array_contains("tails", "packed_ratio-") & (F.col("packed_ratio") < 0.2)
+    no_rows = (F.col("table_share") < 0.5) & ((F.col("n_lines") <= 3) | (F.col("list_share") <= 0.5))
     junk = (
         (F.col("single_char_share") > 0.5)
         | (F.col("noise_share") > 0.05)
-        | (F.array_contains("tails", "packed_ratio-") & (F.col("packed_ratio") < 0.2) & (F.col("table_share") < 0.5) & (F.col("n_lines") <= 3))
+        | ((packed | (F.col("repeats") >= ENDLESS)) & no_rows)
     )
     kind = (
         F.when(junk, "junk")

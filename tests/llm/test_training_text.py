@@ -112,6 +112,26 @@ def test_kinds(spark):
     assert all(0 <= r.n_chars_pct <= 1 for r in got.values())
 
 
+def test_junk_where_a_third_is_not_prose(spark):
+    rng = random.Random(5)
+    encoded = lambda: "\n".join("".join(rng.choice("ABCDEFGHIJKLMabcdefghijklm0189+/") for _ in range(76)) for _ in range(rng.randint(3, 9)))
+    scrambled = lambda: " ".join("".join(rng.choice("bcdfghlmnprstvw") for _ in range(rng.randint(3, 8))) for _ in range(40))
+    made = [lambda: "page " * rng.randint(22, 200), encoded, scrambled, lambda: "mica flakes " * 7 + "mica flakes", lambda: "\n".join(["shell fragments " * 5] * 9)]
+    words = [w.strip(".") for w in PROSE_EN.split()]
+    prose = {i: PROSE_EN + " ".join(rng.sample(words, rng.randint(9, 18))) + "." for i in range(80)}
+    junk = {1000 + i: made[i % 5]() for i in range(40)}
+    rows = [*prose.items(), *junk.items(), *[(2000 + i, "\n".join(f"- sandy silt {n}" for n in range(5))) for i in range(10)]]
+    got = {r.id: r for r in quality.judge_documents(spark.createDataFrame(rows, "id long, t string"), "id", "t").collect()}
+    assert {got[i].doc_kind for i in prose} == {"prose"} and {got[i].doc_kind for i in junk} == {"junk"}
+    assert "common_word_share-" in got[1002].tails
+    alone = [(i, t) for i, t in junk.items() if i % 5 != 2]  # nothing to compare with: only what shows by itself
+    assert {r.doc_kind for r in quality.judge_documents(spark.createDataFrame(alone, "id long, t string"), "id", "t").collect()} == {"junk"}
+
+
+def test_repeats():
+    assert [round(quality.repeats_of(t), 2) for t in ("", "a", "aaaa", "abab", "ababa", "abcd", "aab")] == [1, 1, 4, 2, 2.5, 1, 1]
+
+
 def test_statistics_empty(spark):
     df = spark.createDataFrame([], "id long, t string")
     assert quality.judge_documents(df, "id", "t").count() == 0
