@@ -64,11 +64,12 @@ def array_labels(records: DataFrame, data: str, max_labels: int = 50_000) -> set
     return {r["label"] for r in rows}
 
 
-def label_nodes(doc: Any, arrays: set[str], leaves: bool = False) -> list[tuple]:
-    """(pre, post, label, path, kind, fields) of a record's nodes; objects only unless ``leaves``.
+def label_nodes(doc: Any, arrays: set[str], leaves: bool = False, elements: bool = False) -> list[tuple]:
+    """(pre, post, label, path, kind, fields) of a record's nodes: objects; with ``elements`` also the
+    scalars in arrays, which no object's ``fields`` hold; with ``leaves`` every scalar.
 
     The root is the first row (empty label and path). An object alone where the table has arrays of
-    objects is element [0]. ``fields`` holds an object's own scalars as text.
+    objects is element [0]. ``fields`` holds an object's own scalars as text, a leaf's value under ''.
     """
     out: list[list] = []
     clock = 0
@@ -95,9 +96,9 @@ def label_nodes(doc: Any, arrays: set[str], leaves: bool = False) -> list[tuple]
         elif isinstance(v, list):
             for i, x in enumerate(v):
                 x = jsonx.open_string(x) if isinstance(x, str) else x
-                if leaves or isinstance(x, (dict, list)):
+                if leaves or elements or isinstance(x, (dict, list)):
                     walk(label, f"{path}[{i}]", x, True)
-        elif leaves:
+        else:
             row = enter(label, path, "leaf", {"": jsonx.scalar_text(v)})
             row[1] = clock
             clock += 1
@@ -125,8 +126,10 @@ def link_by_containment(nodes: list[tuple]) -> list[tuple[int, str, int] | None]
     return links
 
 
-def node_table(records: DataFrame, key: str, data: str, arrays: set[str] | None = None, leaves: bool = False) -> DataFrame:
-    """All objects (and scalars, if ``leaves``) of all records as rows with interval labels and parent links.
+def node_table(records: DataFrame, key: str, data: str, arrays: set[str] | None = None, leaves: bool = False, elements: bool = False) -> DataFrame:
+    """All objects of all records as rows with interval labels and parent links.
+
+    ``elements`` adds the scalars in arrays, so that fields and rows hold every value; ``leaves`` all scalars.
 
     Null, unreadable or cut-off data gives no rows; text around JSON is ignored, JSON inside strings is
     opened. The root row has a null ``parent_pre``. Keys are read as text; a null key stays null. Records
@@ -141,7 +144,7 @@ def node_table(records: DataFrame, key: str, data: str, arrays: set[str] | None
                 doc = jsonx.read_document(d)
                 if doc is None:
                     continue
-                nodes = label_nodes(doc, arrays, leaves)
+                nodes = label_nodes(doc, arrays, leaves, elements)
                 for (pre, post, label, path, kind, fields), up in zip(nodes, link_by_containment(nodes), strict=True):
                     rows.append((k, pre, post, up and up[0], up[2] if up else 0, label, up[1] if up else None, path, kind, list(fields.items())))
             for at in range(0, max(len(rows), 1), 20_000):

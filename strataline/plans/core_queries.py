@@ -50,14 +50,17 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return packed.unpack(packed_rows(spark, sf), "example_id", "kind", ["xml", "llm"])
 
 
-def _record_nodes(spark: SparkSession, sf: str) -> list[tuple[str, DataFrame]]:
+def _record_nodes(spark: SparkSession, sf: str, elements: bool = False) -> list[tuple[str, DataFrame]]:
     xml = first_delivery(table(spark, sf, "parse_xml").select("file", "record", "loaded_at"), ["file"], ["loaded_at"])
-    return [("parse_xml", nested.node_table(xml, "file", "record")), ("extraction_result", nested.node_table(_results(spark, sf), "result_id", "data"))]
+    return [
+        ("parse_xml", nested.node_table(xml, "file", "record", elements=elements)),
+        ("extraction_result", nested.node_table(_results(spark, sf), "result_id", "data", elements=elements)),
+    ]
 
 
 def p5_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    a, b = (n.withColumn("origin", F.lit(o)) for o, n in _record_nodes(spark, sf))
-    return a.unionByName(b).select("origin", "rec_key", "pre", "post", "parent_pre", "depth", "label", "parent_path", "path", "fields")
+    a, b = (n.withColumn("origin", F.lit(o)) for o, n in _record_nodes(spark, sf, elements=True))
+    return a.unionByName(b).select("origin", "rec_key", "pre", "post", "parent_pre", "depth", "label", "parent_path", "path", "kind", "fields")
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -66,10 +69,13 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_spt_blows(spark: SparkSession, sf: str) -> DataFrame:
-    """標準貫入試験 with their 打撃回数, joined over the parent link of the two flat tables."""
-    nodes = _record_nodes(spark, sf)[0][1]
-    tests = nodes.where("label = 'コア情報.標準貫入試験'").select("rec_key", F.col("pre").alias("test_pre"), F.col("path").alias("test_path"), F.col("fields")["開始深度"].alias("start_depth"))
-    blows = nodes.where("label = 'コア情報.標準貫入試験.打撃回数'").select("rec_key", F.col("parent_pre").alias("test_pre"), F.col("fields")["区間"].alias("span"), F.col("fields")["回数"].alias("blows"))
+    """標準貫入試験 with their 打撃回数, joined over the parent link of the two flat tables.
+
+    A 打撃回数 that is a number in an array and no object gives its number and no span.
+    """
+    nodes = _record_nodes(spark, sf, elements=True)[0][1]
+    tests = nodes.where("label = 'コア情報.標準貫入試験' and kind = 'object'").select("rec_key", F.col("pre").alias("test_pre"), F.col("path").alias("test_path"), F.col("fields")["開始深度"].alias("start_depth"))
+    blows = nodes.where("label = 'コア情報.標準貫入試験.打撃回数'").select("rec_key", F.col("parent_pre").alias("test_pre"), F.col("fields")["区間"].alias("span"), F.coalesce(F.col("fields")["回数"], F.col("fields")[""]).alias("blows"))
     return tests.join(blows, ["rec_key", "test_pre"], "left").drop("test_pre")
 
 

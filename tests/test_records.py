@@ -6,6 +6,7 @@ import random
 from strataline.functions import jsonx
 from strataline.operators import drift, nested, packed
 from strataline.operators.dedupe import first_delivery
+from strataline.plans import core_queries
 
 
 def records(spark, rows):
@@ -151,3 +152,26 @@ def test_nested(spark):
             up = by[n.rec_key, n.parent_pre]
             assert up.pre < n.pre and n.post < up.post
     assert nested.node_table(df.limit(0), "k", "data", arrays=set()).count() == 0
+
+
+def test_scalars_in_arrays_are_rows(spark):
+    doc = {"a": {"n": [1, None, "x", [2.5]], "m": '["y", {"z": 3}]', "k": True}, "b": ["q"]}
+    rows = nested.node_table(spark.createDataFrame([("r", json.dumps(doc))], "k string, data string"), "k", "data", elements=True).collect()
+    leaves = {n.path: n for n in rows if n.kind == "leaf"}
+    assert {p: n.fields[""] for p, n in leaves.items()} == {"a.n[0]": "1", "a.n[1]": None, "a.n[2]": "x", "a.n[3][0]": "2.5", "a.m[0]": "y", "b[0]": "q"}
+    up = {n.pre: n for n in rows if n.kind == "object"}
+    assert all(up[n.parent_pre].path == n.parent_path and up[n.parent_pre].pre < n.pre < n.post < up[n.parent_pre].post for n in leaves.values())
+    assert {n.parent_path for p, n in leaves.items() if p[0] == "a"} == {"a"} and leaves["b[0]"].parent_path == ""
+
+
+def test_flat_tables_hold_every_value(spark, tmp_path):
+    test = {"開始深度": "1.15", "打撃回数": [{"区間": "10", "回数": "3"}]}
+    xml = {"コア情報": {"標準貫入試験": [test, {"開始深度": "2.15", "打撃回数": ["4", "6"]}], "備考": ["盛土", "埋土"]}}
+    result = {"コア情報": {"標準貫入試験": {"開始深度": [1.15]}}}
+    spark.createDataFrame([("f", json.dumps(xml), "1")], "file string, record string, loaded_at string").write.parquet(f"{tmp_path}/parse_xml.parquet")
+    spark.createDataFrame([(1, "s", 1, "f", json.dumps(result), "1")], "result_id long, series_id string, batch_no int, file string, data string, loaded_at string").write.parquet(f"{tmp_path}/extraction_result.parquet")
+    values = sorted(v for n in core_queries.p5_nodes(spark, str(tmp_path)).collect() for v in n.fields.values())
+    assert values == sorted(["1.15", "10", "3", "2.15", "4", "6", "盛土", "埋土", "1.15"])
+    blows = {(r.start_depth, r.span, r.blows) for r in core_queries.p5_spt_blows(spark, str(tmp_path)).collect()}
+    assert blows == {("1.15", "10", "3"), ("2.15", None, "4"), ("2.15", None, "6")}
+    assert core_queries.p5_found(spark, str(tmp_path)).where("origin = 'extraction_result'").count() == 2
