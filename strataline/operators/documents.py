@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataline.functions import jsonx
 from strataline.functions.text import normal_form
 
 Steps = tuple[str | int, ...]
@@ -50,6 +51,32 @@ def nodes_of(doc: Any) -> dict[Steps, Any]:
     return out
 
 
+def read_prediction(text: str | None) -> Any:
+    """What a model's answer holds; ValueError if there is no complete JSON in it."""
+    got = jsonx.read_document(text)
+    return json.loads(text or "") if got is None else got
+
+
+def open_strings(pred: Any, truth: Any) -> Any:
+    """``pred`` with JSON inside strings opened, except where the truth has a value in the same place of its own."""
+    held = [pred]
+    values: set[Steps] | None = None
+    stack: list[tuple[Steps, Any, Any]] = [((), held, 0)]
+    while stack:
+        at, holder, k = stack.pop()
+        v = holder[k]
+        if isinstance(v, str) and (got := jsonx.open_string(v)) is not v:
+            if values is None:  # element numbers count as one
+                values = {tuple(0 if isinstance(s, int) else s for s in p) for p, x in nodes_of(truth).items() if not isinstance(x, (dict, list)) and x not in (None, "")}
+            if at not in values:
+                v = holder[k] = got
+        if isinstance(v, dict):
+            stack.extend((at + (x,), v, x) for x in v)
+        elif isinstance(v, list):
+            stack.extend((at + (0,), v, x) for x in range(len(v)))
+    return held[0]
+
+
 def _leaf_norms(item: dict) -> dict[Steps, str]:
     return {at: n for at, v in nodes_of(item).items() if not isinstance(v, (dict, list)) and (n := normal_form(shown(v)))}
 
@@ -131,11 +158,13 @@ def judge(truth: Any, pred: Any, labels: frozenset[str] | None = None) -> list[t
     return rows
 
 
-def judge_documents(pairs: DataFrame, keys: list[str], truth: str, pred: str, labels: list[str] | None = None) -> DataFrame:
+def judge_documents(pairs: DataFrame, keys: list[str], truth: str, pred: str, labels: list[str] | None = None, unreadable: bool = False) -> DataFrame:
     """(keys..., retry_count, pass, seq, field, section, top_section, status, error_type, xml, llm_value).
 
-    pairs: one row per document and run with the two JSON texts. The reserved key ``_metadata`` is taken off
-    the prediction first. Rows with a null or unreadable side give no leaves.
+    pairs: one row per document and run with the two JSON texts. Predictions are read as models write them
+    (fences and text around JSON, JSON inside strings); the reserved key ``_metadata`` is taken off first.
+    Rows with a null or unreadable side give no leaves; with ``unreadable``, each whose prediction is null,
+    cut off or holds no JSON gives one row of that status (pass 0, empty field).
     """
     known = frozenset(labels) if labels is not None else None
     types = [pairs.schema[k].dataType.simpleString() for k in keys]
@@ -145,21 +174,37 @@ def judge_documents(pairs: DataFrame, keys: list[str], truth: str, pred: str, la
         for b in batches:
             at: list[int] = []
             rows: list[tuple] = []
+
+            def judged(b: pa.RecordBatch = b, at: list[int] = at, rows: list[tuple] = rows) -> pa.RecordBatch:
+                cols = list(zip(*rows, strict=True)) or [[]] * len(names)
+                held = b.select(list(range(len(keys)))).take(pa.array(at, pa.int64()))
+                kinds = [pa.int32(), pa.int32(), *[pa.string()] * 7]
+                got = pa.RecordBatch.from_arrays([*held.columns, *(pa.array(v, k) for v, k in zip(cols, kinds, strict=True))], names=[*keys, *names])
+                at.clear()
+                rows.clear()
+                return got
+
             for i, (x, y) in enumerate(zip(b.column(len(keys)).to_pylist(), b.column(len(keys) + 1).to_pylist(), strict=True)):
                 try:
-                    a, c = json.loads(x or ""), json.loads(y or "")
+                    a = json.loads(x or "")
                 except ValueError:
                     continue
+                try:
+                    c = open_strings(read_prediction(y), a)
+                except (ValueError, RecursionError):
+                    if unreadable:
+                        rows.append((0, 0, "", "", "", "unreadable", None, None, None))
+                        at.append(i)
+                    continue
                 if isinstance(c, dict):
                     c.pop("_metadata", None)
                 for r in judge(a, c, known):
                     parts = _PART.split(r[2])
                     rows.append((r[0], r[1], r[2], ".".join(parts[:2]), parts[0], *r[3:]))
                     at.append(i)
-            cols = list(zip(*rows, strict=True)) or [[]] * len(names)
-            held = b.select(list(range(len(keys)))).take(pa.array(at, pa.int64()))
-            kinds = [pa.int32(), pa.int32(), *[pa.string()] * 7]
-            yield pa.RecordBatch.from_arrays([*held.columns, *(pa.array(v, k) for v, k in zip(cols, kinds, strict=True))], names=[*keys, *names])
+                if len(rows) >= 20_000:  # a batch of records has a hundred times as many leaves
+                    yield judged()
+            yield judged()
 
     schema = ", ".join([*(f"`{k}` {t}" for k, t in zip(keys, types, strict=True)), "pass int, seq int, field string, section string, top_section string, status string, error_type string, xml string, llm_value string"])
     return pairs.select(*keys, F.col(truth).cast("string"), F.col(pred).cast("string")).mapInArrow(read, schema)

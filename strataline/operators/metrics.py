@@ -19,8 +19,8 @@ def with_scores(counts: DataFrame) -> DataFrame:
     return d.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
-def count_status(details: DataFrame, by: list[str]) -> DataFrame:
-    return details.groupBy(*by).agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("correct", "incorrect", "not_extracted")])
+def count_status(details: DataFrame, by: list[str], more: tuple[str, ...] = ()) -> DataFrame:
+    return details.groupBy(*by).agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("correct", "incorrect", "not_extracted", *more)])
 
 
 def metrics(details: DataFrame, by: list[str]) -> DataFrame:

@@ -258,15 +258,16 @@ def _judged(spark: SparkSession, sf: str) -> DataFrame:
     keys = ["series_id", "batch_no", "llm", "parse_type", "result_id", "file"]
     r = first_delivery(table(spark, sf, "extraction_result").select(*keys, "data", "loaded_at"), ["result_id"], ["loaded_at"])
     t = _truth(spark, sf).select("file", "record")
-    return documents.judge_documents(r.join(t, "file"), keys, "record", "data")
+    return documents.judge_documents(r.join(t, "file"), keys, "record", "data", unreadable=True)
 
 
 @query()
 def judged_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Every extraction result against its sheet's record."""
+    """Every extraction result against its sheet's record; one without complete JSON is one row of status 'unreadable'."""
     return _judged(spark, sf)
 
 
 @query()
 def judged_runs(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.metrics(_judged(spark, sf), ["llm", "parse_type"]).orderBy(F.desc("f1"), "llm", "parse_type")
+    """Scores of every run and the number of its results that could not be read, which the scores leave out."""
+    return metrics.with_scores(metrics.count_status(_judged(spark, sf), ["llm", "parse_type"], ("unreadable",))).orderBy(F.desc("f1"), "llm", "parse_type")

@@ -1,5 +1,6 @@
 """Normal form, alignment and the two passes, against golden cases and a recursion of their own."""
 
+import json
 import random
 import re
 import unicodedata
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strataline.functions import paths, text
 from strataline.operators import align, documents, judge, metrics
+from strataline.plans import layout_queries
 
 
 def col(spark, f, values, names="x"):
@@ -142,6 +144,20 @@ def test_documents_against_recursion():
         assert got == brute(t, p), (t, p)
 
 
+def test_results_as_models_write_them(spark, tmp_path):
+    truth = {"h": {"a": "1", "note": "[1]"}, "l": [{"v": "x"}, {"v": "y"}], "n": ["p", "q"]}
+    whole = json.dumps(truth)
+    nested = json.dumps({"h": json.dumps(truth["h"]), "l": json.dumps([json.dumps(x) for x in truth["l"]]), "n": json.dumps(truth["n"])})
+    data = {"plain": whole, "fence": f"```json\n{whole}\n```", "prose": f"Here it is: {whole} Done.", "strings": nested, "cut": whole[:-9], "none": None, "scalar": "5"}
+    spark.createDataFrame([("f", whole, "1")], "file string, record string, loaded_at string").write.parquet(f"{tmp_path}/parse_xml.parquet")
+    rows = [("s", 1, m, "p", i, "f", d, "1") for i, (m, d) in enumerate(data.items())]
+    schema = "series_id string, batch_no int, llm string, parse_type string, result_id long, file string, data string, loaded_at string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/extraction_result.parquet")
+    got = {r.llm: (r.correct, r.incorrect, r.not_extracted, r.unreadable) for r in layout_queries.judged_runs(spark, str(tmp_path)).collect()}
+    assert got == {**dict.fromkeys(("plain", "fence", "prose", "strings"), (6, 0, 0, 0)), **dict.fromkeys(("cut", "none"), (0, 0, 0, 1)), "scalar": (0, 0, 6, 0)}
+    assert {r.llm for r in layout_queries.judged_documents(spark, str(tmp_path)).where("status = 'unreadable'").collect()} == {"cut", "none"}
+
+
 def test_greedy_ties_and_order(spark):
     rows = [("d", 0, 0, 2), ("d", 0, 1, 2), ("d", 1, 0, 3), ("d", 1, 1, 1), ("d", 2, 0, 1)]
     s = spark.createDataFrame(rows, "doc string, truth_idx int, pred_idx int, score long")
