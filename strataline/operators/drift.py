@@ -280,7 +280,7 @@ class Column:
 
 
 def consistent_columns(records: DataFrame, c: Drift = Drift(), max_labels: int = 20_000) -> list[Column]:
-    """The columns of the consistent table: labels of scalars ever in force, renamed ones under one name.
+    """The columns of the consistent table: all labels of scalars, in force or not, renamed ones under one name.
 
     Read on the driver from schema-sized statistics: one row per distinct label and one per distinct
     rename, at most ``max_labels`` (more would not be a schema; that raises ValueError).
@@ -295,7 +295,7 @@ def consistent_columns(records: DataFrame, c: Drift = Drift(), max_labels: int =
         F.sum(F.when(F.col("json_type").isin("string", "number", "boolean"), F.col("n")).otherwise(0)).alias("scalar"),
         F.sum(F.when(F.col("json_type") != "null", F.col("n")).otherwise(0)).alias("valued"),
     )
-    rows = {r["label"]: r for r in kinds.join(use, "label").limit(max_labels + 1).collect()}
+    rows = {r["label"]: r for r in kinds.join(use, "label", "left").na.fill(0, ["batches"]).limit(max_labels + 1).collect()}
     pairs = label_changes(records, c, stats).where("change_kind = 'renamed'").select("label", "detail").distinct().limit(max_labels + 1).collect()
     if max(len(rows), len(pairs)) > max_labels:
         raise ValueError(f"more than {max_labels} labels: this is data in key position, not a schema")
@@ -318,7 +318,7 @@ def consistent_columns(records: DataFrame, c: Drift = Drift(), max_labels: int =
         at = [rows[m] for m in members]
         if sum(r["scalar"] for r in at) * 2 < sum(r["valued"] for r in at) or not sum(r["valued"] for r in at):
             continue
-        best = min(at, key=lambda r: (-r["batches"], r["label"]))["label"]
+        best = min(at, key=lambda r: (-r["batches"], -r["n"], r["label"]))["label"]
         valued = sum(r["valued"] for r in at)
         out.append(Column(best, tuple(sorted(members)), sum(r["numeric"] for r in at) * 10 >= 9 * valued, sum(r["many"] for r in at) * 10 >= valued))
     return sorted(out, key=lambda x: x.label)

@@ -59,6 +59,15 @@ def test_consistent_table(spark):
     assert sum(x.n_failed for x in drift.cast_failures(r, cols).collect()) == 0
 
 
+def test_columns_of_labels_never_in_force(spark):
+    rows = [("s", b, f"f{i}", {"a": str(i), **({"rare": {"n": "7" if i else "x7"}} if i < 1 or (b, i) == (2, 1) else {})}) for b in (1, 2) for i in range(20)]
+    r = records(spark, rows)
+    cols = drift.consistent_columns(r)
+    assert [c.label for c in cols] == ["a", "rare.n"]
+    assert sorted(x.rare__n for x in drift.consistent_table(r, cols).collect() if x.rare__n) == ["7", "x7", "x7"]
+    assert {x.label: x.n_values for x in drift.cast_failures(r, cols).collect()} == {"a": 40, "rare.n": 3}
+
+
 def test_dedupe(spark):
     df = spark.createDataFrame([(1, "b", 2), (1, "a", 1), (None, "x", 1), (None, "x", 1)], "k int, v string, t int")
     assert sorted((r.k or 0, r.v) for r in first_delivery(df, ["k"], ["t"]).collect()) == [(0, "x"), (0, "x"), (1, "a")]
