@@ -77,7 +77,8 @@ def _raw_values(doc: object) -> dict[str, list]:
 def type_statistics(records: DataFrame, c: Drift = Drift(), values: bool = False) -> DataFrame:
     """(series, batch, label, json_type, is_numeric, is_many, n): records of a batch by label and raw type.
 
-    ``is_numeric`` (all values of the record can be read as numbers) is looked at only with ``values``.
+    ``is_numeric`` (all values of the record can be read as numbers) is looked at only with ``values``; then
+    ``is_many`` means more than one scalar in the record, and ``has_scalar`` that one of them is not null.
 
     Label '' carries the number of readable records. A record counts once per label, with the type it
     gives most often, nulls aside (only nulls: type 'null'). Unreadable or null data adds nothing; an
@@ -91,7 +92,7 @@ def type_statistics(records: DataFrame, c: Drift = Drift(), values: bool = False
                 doc = jsonx.read_document(d)
                 if doc is None:
                     continue
-                key = (s, k, "", "record", False, False)
+                key = (s, k, "", "record", False, False, *[False] * values)
                 n[key] = n.get(key, 0) + 1
                 raw = _raw_values(doc) if values else {}
                 for label, types in jsonx.labels_of(doc).items():
@@ -102,18 +103,20 @@ def type_statistics(records: DataFrame, c: Drift = Drift(), values: bool = False
                         known = {t: m for t, m in types.items() if t != "null"}
                         kind = min(known, key=lambda t: (-known[t], t))
                         many = True
-                    numeric = False
+                    numeric, held = False, ()
                     if values:
-                        vals = [v for v in raw.get(label, ()) if jsonx.value_key(v) is not None]
+                        met = raw.get(label, ())
+                        vals = [v for v in met if jsonx.value_key(v) is not None]
                         numeric = bool(vals) and all(map(_is_number, vals))
-                    key = (s, k, label, kind, numeric, many)
+                        many, held = len(met) > 1, (any(v is not None for v in met),)
+                    key = (s, k, label, kind, numeric, many, *held)
                     n[key] = n.get(key, 0) + 1
-            cols = list(zip(*(key + (m,) for key, m in n.items()), strict=True)) or [[]] * 7
+            cols = list(zip(*(key + (m,) for key, m in n.items()), strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, arrow, strict=True)], names=names)
 
-    names = [c.series, c.batch, "label", "json_type", "is_numeric", "is_many", "n"]
-    arrow = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.int64()]
-    schema = f"`{c.series}` string, `{c.batch}` int, label string, json_type string, is_numeric boolean, is_many boolean, n bigint"
+    names = [c.series, c.batch, "label", "json_type", "is_numeric", "is_many", *["has_scalar"] * values, "n"]
+    arrow = [pa.string(), pa.int32(), pa.string(), pa.string(), *[pa.bool_()] * (2 + values), pa.int64()]
+    schema = f"`{c.series}` string, `{c.batch}` int, label string, json_type string, is_numeric boolean, is_many boolean, {'has_scalar boolean, ' * values}n bigint"
     slim = records.select(F.col(c.series).cast("string"), F.col(c.batch).cast("int"), F.col(c.data).cast("string"))
     keys = names[:-1]
     return slim.mapInArrow(agg, schema).groupBy(*keys).agg(F.sum("n").alias("n"))
@@ -292,8 +295,7 @@ def consistent_columns(records: DataFrame, c: Drift = Drift(), max_labels: int =
         F.sum("n").alias("n"),
         F.sum(F.when(F.col("is_numeric"), F.col("n")).otherwise(0)).alias("numeric"),
         F.sum(F.when(F.col("is_many"), F.col("n")).otherwise(0)).alias("many"),
-        F.sum(F.when(F.col("json_type").isin("string", "number", "boolean"), F.col("n")).otherwise(0)).alias("scalar"),
-        F.sum(F.when(F.col("json_type") != "null", F.col("n")).otherwise(0)).alias("valued"),
+        F.sum(F.when(F.col("has_scalar"), F.col("n")).otherwise(0)).alias("scalar"),
     )
     rows = {r["label"]: r for r in kinds.join(use, "label", "left").na.fill(0, ["batches"]).limit(max_labels + 1).collect()}
     pairs = label_changes(records, c, stats).where("change_kind = 'renamed'").select("label", "detail").distinct().limit(max_labels + 1).collect()
@@ -316,11 +318,11 @@ def consistent_columns(records: DataFrame, c: Drift = Drift(), max_labels: int =
     out = []
     for members in groups.values():
         at = [rows[m] for m in members]
-        if sum(r["scalar"] for r in at) * 2 < sum(r["valued"] for r in at) or not sum(r["valued"] for r in at):
+        scalar = sum(r["scalar"] for r in at)
+        if not scalar:
             continue
         best = min(at, key=lambda r: (-r["batches"], -r["n"], r["label"]))["label"]
-        valued = sum(r["valued"] for r in at)
-        out.append(Column(best, tuple(sorted(members)), sum(r["numeric"] for r in at) * 10 >= 9 * valued, sum(r["many"] for r in at) * 10 >= valued))
+        out.append(Column(best, tuple(sorted(members)), sum(r["numeric"] for r in at) * 10 >= 9 * scalar, any(r["many"] for r in at)))
     return sorted(out, key=lambda x: x.label)
 
 
@@ -372,8 +374,9 @@ def _clean(x):
 def consistent_table(records: DataFrame, columns: list[Column], c: Drift = Drift()) -> DataFrame:
     """One row per readable record, the same typed columns for all batches, named by ``column_names``.
 
-    Numbers are double, everything else string; labels inside arrays become arrays in document order.
-    A value that does not fit its type is null here and counted by ``cast_failures``.
+    Numbers are double, everything else string; labels of which a record has several values become arrays in
+    document order. A value that does not fit its type is null here and counted by ``cast_failures``, as are
+    the values after the first where a record has several only under an old and a new name.
     """
     raw = raw_values(records, columns, c)
     cols, names = [], column_names(columns)
@@ -388,13 +391,18 @@ def consistent_table(records: DataFrame, columns: list[Column], c: Drift = Drift
 
 
 def cast_failures(records: DataFrame, columns: list[Column], c: Drift = Drift()) -> DataFrame:
-    """(label, target_type, json_type, n_values, n_failed, example) for every column and raw type."""
+    """(label, target_type, json_type, n_values, n_failed, n_unheld, example) for every column and raw type.
+
+    ``n_unheld`` counts values after the first of a record in a column that is no array.
+    """
+    single = F.array(*[F.lit(x.label) for x in columns if not x.many]).cast("array<string>")
     numeric = F.array(*[F.lit(x.label) for x in columns if x.numeric]) if any(x.numeric for x in columns) else F.array().cast("array<string>")
-    rows = raw_values(records, columns, c).select(F.explode("raw").alias("label", "vals")).select("label", F.explode("vals").alias("v"))
+    rows = raw_values(records, columns, c).select(F.explode("raw").alias("label", "vals")).select("label", F.posexplode("vals").alias("at", "v"))
     is_num = F.array_contains(numeric, F.col("label"))
     text = _clean(F.col("v.text"))
     bad = is_num & (text != "") & text.try_cast("double").isNull()
     return rows.groupBy("label", F.when(is_num, "double").otherwise("string").alias("target_type"), F.col("v.json_type").alias("json_type")).agg(
-        F.count("v.text").alias("n_values"), F.count(F.when(bad, 1)).alias("n_failed"), F.min(F.when(bad, F.col("v.text"))).alias("example"),
+        F.count("v.text").alias("n_values"), F.count(F.when(bad, 1)).alias("n_failed"),
+        F.count(F.when((F.col("at") > 0) & F.array_contains(single, F.col("label")), F.col("v.text"))).alias("n_unheld"), F.min(F.when(bad, F.col("v.text"))).alias("example"),
     )
 

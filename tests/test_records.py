@@ -68,6 +68,16 @@ def test_columns_of_labels_never_in_force(spark):
     assert {x.label: x.n_values for x in drift.cast_failures(r, cols).collect()} == {"a": 40, "rare.n": 3}
 
 
+def test_columns_hold_every_value(spark):
+    rows = [("s", b, f"f{i}", {"few": ["1", "2"] if (b, i) == (2, 0) else "1", "list": [f"x{i}", "y"], "one": [i], "kind": {"z": "q"} if i else "plain"}) for b in (1, 2) for i in range(20)]
+    r = records(spark, rows)
+    cols = drift.consistent_columns(r)
+    assert {c.label: (c.numeric, c.many) for c in cols} == {"few": (True, True), "kind": (False, False), "kind.z": (False, False), "list": (False, True), "one": (True, False)}
+    out = {(x.batch_no, x.file): x for x in drift.consistent_table(r, cols).collect()}
+    assert out[2, "f0"].few == [1.0, 2.0] and out[1, "f3"].list == ["x3", "y"] and out[1, "f3"].one == 3.0 and out[1, "f0"].kind == "plain"
+    assert {(x.label, x.n_values, x.n_unheld) for x in drift.cast_failures(r, [drift.Column("list", ("few", "list"), False, False)]).collect()} == {("list", 121, 81)}
+
+
 def test_dedupe(spark):
     df = spark.createDataFrame([(1, "b", 2), (1, "a", 1), (None, "x", 1), (None, "x", 1)], "k int, v string, t int")
     assert sorted((r.k or 0, r.v) for r in first_delivery(df, ["k"], ["t"]).collect()) == [(0, "x"), (0, "x"), (1, "a")]
