@@ -3,17 +3,19 @@
 Method: every document gets a row of statistics (one pass, whole text). Each statistic is summed up per
 language in a mergeable quantile sketch (KLL, built in the JVM, merged across partitions); the sketches
 give medians, quartiles and ranks, with which values become percentiles and robust z-scores, and tails are
-flagged. Medians and quartiles of z are those of the documents that stand mostly in prose lines, else a large
-share of other kinds widens the scale until no value of a bounded statistic lies in a tail. The kind of a text
-comes from the shares of its lines and characters that are list, table or noise, from tails that no prose of
-the language reaches, and from what cannot be read in any corpus (one unit over and over, unbroken runs).
+flagged. Medians and spreads of z are those of the documents that stand mostly in prose lines, else a large
+share of other kinds widens the scale until no value of a bounded statistic lies in a tail. Tails alone
+decide the kind of a text: one counts if it also makes up most of the text, that is, if the value lies more
+than half of the way from the language's median to the statistic's end (a share of 1, or of 0).
 """
 
 from __future__ import annotations
 
 import re
+import statistics
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,13 +32,29 @@ COMMON_EN = frozenset(
 )
 STATISTICS = [
     "n_chars", "n_lines", "n_words", "mean_word_length", "symbol_ratio", "digit_ratio", "common_word_share", "punctuated_line_share",
-    "short_line_share", "list_share", "table_share", "noise_share", "single_char_share", "packed_ratio",
-    "prose_share", "repeats",
+    "short_line_share", "list_share", "table_share", "row_share", "noise_share", "single_char_share", "packed_ratio",
+    "prose_share", "repeated_share",
 ]
+#: Statistics by which a text can differ from prose, and the value they have where all of the text does.
+ENDS = {"row_share": 1.0, "symbol_ratio": 1.0, "single_char_share": 1.0, "repeated_share": 1.0, "packed_ratio": 0.0, "common_word_share": 0.0, "prose_share": 0.0}
 #: Distance from the median, in robust standard deviations, from which a value lies in a tail.
-TAIL = 4.0
-#: Times from which a text that is one unit over and over is endless repetition.
-ENDLESS = 8
+TAIL = 3.0
+#: Least robust standard deviation: this share of the median, and in any case this much.
+LEAST_SPREAD = 0.01
+#: A share of tokens is told apart from chance by so many tokens more that are not counted.
+SHRINK = 4
+
+# Prose of each script, against which a corpus without any prose of its own is measured.
+SAMPLE_PROSE = [
+    "The crew lost some water near the base of the hole, but they finished it on the same day.",
+    "Most of the valley is covered by gravel that came down from the hills to the north of the town.",
+    "It is not clear why the second reading was higher than the first, so the test should be done again.",
+    "A thin band of grey clay was seen between the two beds of sand, and it could be followed for some way.",
+    "昨日の調査では、川の近くで細かい砂の層が見られ、その下には硬い粘土が続いていた。",
+    "この地区の地盤は比較的新しい堆積物からなり、場所によって厚さが大きく異なると考えられる。",
+    "試料の一部は乾いていたので、結果を解釈するときには注意しなければならない。",
+    "雨が続いたあとに水位が上がり、午後の作業は次の日まで延ばすことになった。",
+]
 
 _CJK = "぀-ヿ㐀-鿿ｦ-ﾟ々"
 _FIGURE = re.compile(r"\d+(?:[.,]\d+)*")
@@ -58,6 +76,10 @@ _GAPS = re.compile(r"\S(?:\s{2,}|　+)\S")
 _NOISE = re.compile(r"[�■-□〓\x00-\x08\x0b\x0e-\x1f\x80-\x9f-]|(?<=[^\s?~.!)\d])[?~？～〜]+(?=[^\s?~!\d])")
 #: Letters left when UTF-8 is read as a one-byte code, followed by a byte of the upper half.
 _MOJIBAKE = re.compile(r"[Â-ôÃ][\x80-\xffŒ-ƒˆ˜–-™�]")
+_FULL_WIDTH = re.compile("[０-９Ａ-Ｚａ-ｚ]")
+_TO_NARROW = {ord(ch): chr(ord(ch) - 0xFEE0) for ch in "０１２３４５６７８９ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ"}
+#: Bytes that packing adds to any text.
+_PACKED_NOTHING = len(zlib.compress(b"", 1))
 _END = ".!?。！？．」』)）"
 
 
@@ -73,7 +95,10 @@ def _is_prose(line: str) -> bool:
 
 
 def line_kind(line: str) -> str:
-    """'table', 'list', 'prose' or 'other' for one line (not blank)."""
+    """'table', 'list', 'prose', 'entry' or 'other' for one line (not blank).
+
+    An 'entry' is a short line without a mark of its own: part of a list only where others stand next to it.
+    """
     if _TAGS.search(line):
         return "table"
     if _COORD.match(line) or (len(line.strip()) > 2 and _RULE.match(line) and ("|" in line or "+" in line or "┼" in line)):
@@ -93,23 +118,35 @@ def line_kind(line: str) -> str:
         return "table"
     if _MARKER.match(line) or _KEYED.match(line):
         return "list"
-    return "list" if len(bare) + len(_WIDE.findall(bare)) <= 60 and _WORDLIKE.search(bare) else "other"
+    return "entry" if len(bare) + len(_WIDE.findall(bare)) <= 60 and _WORDLIKE.search(bare) else "other"
+
+
+def line_kinds(lines: list[str]) -> list[str]:
+    """The kinds of a text's lines; an entry next to another one or to a list line is 'list', alone it is 'other'."""
+    met = [line_kind(x) for x in lines]
+    near = [k in ("entry", "list") for k in met]
+    return [
+        k if k != "entry" else "list" if (i and near[i - 1]) or (i + 1 < len(near) and near[i + 1]) else "other"
+        for i, k in enumerate(met)
+    ]
 
 
 def repeats_of(text: str) -> float:
-    """How often the shortest unit follows itself to make up the text (the last one may be cut off); 1 for none."""
-    n, k = len(text), 0
-    border = [0] * n
-    for i in range(1, n):
-        while k and text[i] != text[k]:
-            k = border[k - 1]
-        k += text[i] == text[k]
-        border[i] = k
-    return n / (n - k) if n else 1.0
+    """How often the shortest unit follows itself to make up the text (the last one may be cut off); 1 below two times."""
+    n = len(text)
+    head = text[: n - n // 2]  # stands again at the place of the second unit
+    p = text.find(head, 1)
+    while 0 < p <= n // 2:
+        if text.startswith(text[: n - p], p):
+            return n / p
+        p = text.find(head, p + 1)
+    return 1.0
 
 
 def statistics_of(text: str) -> tuple[str, dict[str, float]]:
-    """(language by script, statistics) of one text that is not blank."""
+    """(language by script, statistics) of one text that is not blank. Letters and digits count whatever their width."""
+    if _FULL_WIDTH.search(text):
+        text = text.translate(_TO_NARROW)
     n = len(text)
     tokens = text.split()
     solid = sum(map(len, tokens))
@@ -124,31 +161,28 @@ def statistics_of(text: str) -> tuple[str, dict[str, float]]:
         common = sum(w.lower() in COMMON_EN for w in latin) / max(1, len(latin))
     share = dict.fromkeys(("table", "list", "prose", "other"), 0)
     short = ends = single = 0
-    for x in lines:
+    for x, kind in zip(lines, line_kinds(lines), strict=True):
         size = len(x.strip())
-        share[line_kind(x)] += size
+        share[kind] += size
         short += size * (size <= (20 if lang == "ja" else 40))
         ends += x.rstrip()[-1] in _END
         single += size * (size <= 1)
     size = max(1, sum(share.values()))
-    alone = sum(len(t) == 1 and t.isalpha() for t in tokens)
-    alone_share = alone / max(1, len(tokens)) if len(tokens) >= 8 else 0.0
+    alone_share = sum(len(t) == 1 and t.isalpha() for t in tokens) / (len(tokens) + SHRINK)
     noise = sum(map(len, _MOJIBAKE.findall(text)))
     if _NOISE.search(text):  # a mark at the head of a line is a bullet
         noise += sum(sum(map(len, _NOISE.findall(x.lstrip()[1:]))) for x in lines)
     raw = text.encode("utf-8", "surrogatepass")
-    packed = len(zlib.compress(raw, 1)) / max(1, len(raw)) if len(raw) >= 120 else 1.0
     symbols = len(_SYMBOL.findall(text))
     return lang, {
         "n_chars": n, "n_lines": len(lines), "n_words": len(latin) + han + len(_FIGURE.findall(text)),
-        "mean_word_length": sum(map(len, tokens)) / max(1, len(tokens)),
+        "mean_word_length": solid / max(1, len(tokens)),
         "symbol_ratio": symbols / max(1, solid), "digit_ratio": len(_DIGIT.findall(text)) / max(1, solid),
         "common_word_share": common, "punctuated_line_share": ends / max(1, len(lines)), "short_line_share": short / size,
-        "list_share": share["list"] / size, "table_share": share["table"] / size, "noise_share": noise / max(1, solid),
-        "single_char_share": max(single / size, alone_share),
-        "packed_ratio": packed, "prose_share": share["prose"] / size,
-        # what repeats ENDLESS times packs to under 0.35; wrapping does not hide it
-        "repeats": repeats_of("".join(tokens)) if packed < 0.35 or len(raw) < 120 else 1.0,
+        "list_share": share["list"] / size, "table_share": share["table"] / size, "row_share": (share["list"] + share["table"]) / size,
+        "noise_share": noise / max(1, solid), "single_char_share": max(single / size, alone_share),
+        "packed_ratio": (len(zlib.compress(raw, 1)) - _PACKED_NOTHING) / max(1, len(raw)), "prose_share": share["prose"] / size,
+        "repeated_share": 1 - 1 / repeats_of("".join(tokens)),  # wrapping does not hide it
     }
 
 
@@ -179,68 +213,99 @@ def language_sketches(stats: DataFrame, k: int = 400) -> DataFrame:
     return stats.groupBy("script_lang").agg(F.count("*").alias("n_docs"), *[F.kll_sketch_agg_double(s, F.lit(k)).alias(f"{s}__sketch") for s in STATISTICS])
 
 
-def _quantiles(sketches: DataFrame, suffix: str) -> DataFrame:
-    ranks = F.array(*[F.lit(i / 100) for i in range(101)])
-    return sketches.select("script_lang", *[F.kll_sketch_get_quantile_double(f"{s}__sketch", ranks).alias(f"{s}{suffix}") for s in STATISTICS])
+def _quantiles(sketches: DataFrame, ranks: list[float], suffix: str, *by: str) -> DataFrame:
+    at = F.array(*map(F.lit, ranks))
+    return sketches.select(*by, *[F.kll_sketch_get_quantile_double(f"{s}__sketch", at).alias(f"{s}{suffix}") for s in STATISTICS])
+
+
+@lru_cache(maxsize=1)
+def sample_quartiles() -> dict[str, list[float]]:
+    """Quartiles of the statistics over SAMPLE_PROSE."""
+    rows = [statistics_of(t)[1] for t in SAMPLE_PROSE]
+    return {s: statistics.quantiles([r[s] for r in rows], n=4, method="inclusive") for s in STATISTICS}
 
 
 def with_distribution(stats: DataFrame, key: str) -> DataFrame:
     """``stats`` with, per statistic, its percentile and robust z-score in its language, and ``tails``.
 
-    z is (value - median) / (interquartile range / 1.349), median and range being those of the language's
-    documents that stand mostly in prose lines (of all its documents if it has none); where at least half of
-    these values are equal the range is taken as at least a hundredth of the median, or 0.01. Percentiles
-    are among all documents of the language. ``tails`` lists the statistics beyond ``TAIL`` with their side.
+    z is the distance from the median over the robust standard deviation of that side (quartile to median /
+    0.6745), median and quartiles being those of the language's documents that stand mostly in prose lines; a
+    language without such is measured against the prose of all languages, a corpus without any against
+    SAMPLE_PROSE. The deviation is at least LEAST_SPREAD, of the median and absolutely. Percentiles are among all
+    documents of the language. ``tails`` lists the statistics beyond ``TAIL`` with their side.
     There are as many sketch rows as scripts told apart (three at most), so they are joined by broadcast.
     """
-    wide = _quantiles(language_sketches(stats), "__q")
-    wide = wide.join(F.broadcast(_quantiles(language_sketches(stats.where("prose_share > 0.5")), "__p")), "script_lang", "left")
-    at = {s: (lambda i, s=s: F.coalesce(f"{s}__p", f"{s}__q")[i]) for s in STATISTICS}
+    quartiles = [0.25, 0.5, 0.75]
+    prose = language_sketches(stats.where("prose_share > 0.5"))
+    pooled = prose.groupBy(F.lit(1)).agg(*[F.kll_merge_agg_double(f"{s}__sketch").alias(f"{s}__sketch") for s in STATISTICS])
+    wide = (
+        _quantiles(language_sketches(stats), [i / 100 for i in range(101)], "__q", "script_lang")
+        .join(F.broadcast(_quantiles(prose, quartiles, "__p", "script_lang")), "script_lang", "left")
+        .withColumn("__all", _quantiles(pooled, quartiles, "").select(F.struct(*STATISTICS)).scalar())
+    )
+    sample = sample_quartiles()
+    own = {s: F.coalesce(F.col(f"{s}__p"), F.col("__all")[s], F.array(*map(F.lit, sample[s]))) for s in STATISTICS}
+    wide = wide.select("script_lang", *[f"{s}__q" for s in STATISTICS], *[own[s].alias(f"{s}__r") for s in STATISTICS])
     j = stats.join(F.broadcast(wide), "script_lang")
-    z = {s: (F.col(s) - at[s](50)) / F.greatest((at[s](75) - at[s](25)) / 1.349, F.abs(at[s](50)) / 100, F.lit(0.01)) for s in STATISTICS}
+
+    def z_of(s: str):
+        low, mid, high = (F.col(f"{s}__r")[i] for i in range(3))
+        side = F.when(F.col(s) >= mid, high - mid).otherwise(mid - low) / 0.6745
+        return (F.col(s) - mid) / F.greatest(side, F.abs(mid) * LEAST_SPREAD, F.lit(LEAST_SPREAD))
 
     def percentile(s: str):
         return F.size(F.filter(f"{s}__q", lambda q: q < F.col(s))) / F.lit(101.0)
 
+    def most(s: str, end: float):
+        mid = F.col(f"{s}__r")[1]
+        return F.when((F.col(s) - mid) / (F.lit(end) - mid) > 0.5, F.lit(s))
+
+    z = {s: z_of(s) for s in STATISTICS}
     tails = F.array_compact(F.array(*[F.when(z[s] > TAIL, F.lit(f"{s}+")).when(z[s] < -TAIL, F.lit(f"{s}-")) for s in STATISTICS]))
     return j.select(
         key, "script_lang", *STATISTICS,
         *[percentile(s).alias(f"{s}_pct") for s in STATISTICS],
         *[z[s].alias(f"{s}_z") for s in STATISTICS], tails.alias("tails"),
+        F.array_compact(F.array(*[most(s, end) for s, end in ENDS.items()])).alias("mostly"),
     )
 
 
 def kinds(dist: DataFrame) -> DataFrame:
-    """``dist`` with ``doc_kind``: list, table, junk or prose.
-
-    Noise comes first (a table of broken characters cannot be read either), then what most characters
-    stand in. Texts without structure are junk if their share of common words lies in the lower tail of
-    their language's prose and under half of its usual value, if they are endless repetition, or if they
-    are unbroken runs of Latin letters that no language's words reach (encoded data).
+    """``dist`` with ``doc_kind`` (list, table, junk or prose) and ``decided_by``, the tails that made it.
+
+    A tail decides if the statistic is also one that most of the text bears out (``mostly``); for lost
+    characters the tail is enough, as a text with some of them can't be read. In this order:
+    junk    lost characters; single characters; the same over and over, or text that packs to nothing, unless in rows
+    table, list    rows, by the larger part
+    junk    symbols, or few common words in what is no prose
+    Symbols come before lists, as an entry of symbols tells nothing. A document without such tails is prose.
     """
-    far = F.array_contains("tails", "common_word_share-")
-    unbroken = (F.col("script_lang") == "en") & (F.col("mean_word_length") > 25)
-    rare_words = (far | unbroken) & (F.col("common_word_share") < 0.17)
-    packed = F.array_contains("tails", "packed_ratio-") & (F.col("packed_ratio") < 0.2)
-    no_rows = (F.col("table_share") < 0.5) & ((F.col("n_lines") <= 3) | (F.col("list_share") <= 0.5))
-    junk = (
-        (F.col("single_char_share") > 0.5)
-        | (F.col("noise_share") > 0.05)
-        | ((packed | (F.col("repeats") >= ENDLESS)) & no_rows)
-    )
-    kind = (
-        F.when(junk, "junk")
-        .when((F.col("table_share") > 0.5) & (F.col("table_share") >= F.col("list_share")), "table")
-        .when((F.col("symbol_ratio") > 0.4) & (F.col("table_share") <= 0.5), "junk")
-        .when((F.col("list_share") > 0.5) & (F.col("n_lines") >= 3), "list")
-        .when(F.col("list_share") + F.col("table_share") > 0.6, F.when(F.col("table_share") > F.col("list_share"), "table").when(F.col("n_lines") >= 3, "list").otherwise(F.when(rare_words, "junk").otherwise("prose")))
-        .when(rare_words | (F.col("script_lang") == "other"), "junk")
-        .otherwise("prose")
-    )
-    return dist.withColumn("doc_kind", kind)
+    def far(s: str):
+        side = "-" if ENDS.get(s) == 0.0 else "+"
+        told = F.array_contains("tails", s + side)
+        return told if s not in ENDS else told & F.array_contains("mostly", s)
+
+    rows, table = far("row_share"), F.col("table_share") >= F.col("list_share")
+    steps = [
+        ("junk", far("noise_share"), ["noise_share+"]),
+        ("junk", far("single_char_share"), ["single_char_share+"]),
+        ("junk", far("repeated_share") & ~(rows & table), ["repeated_share+"]),
+        ("junk", far("packed_ratio") & ~rows, ["packed_ratio-"]),
+        ("table", rows & table, ["row_share+"]),
+        ("junk", far("symbol_ratio"), ["symbol_ratio+"]),
+        ("list", rows, ["row_share+"]),
+        ("junk", far("common_word_share") & far("prose_share"), ["common_word_share-", "prose_share-"]),
+    ]
+    kind, why = F, F
+    for name, cond, by in steps:
+        kind, why = kind.when(cond, name), why.when(cond, F.array(*map(F.lit, by)))
+    return dist.withColumn("doc_kind", kind.otherwise("prose")).withColumn("decided_by", why.otherwise(F.array().cast("array<string>"))).drop("mostly")
 
 
 def judge_documents(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Statistics, percentiles, z-scores, tails and kind of every document with a text that is not blank."""
+    """Statistics, percentiles, z-scores, tails and kind of every document with a text that is not blank.
+
+    Null and blank texts have no row; texts of any length are read whole; repeated rows count each.
+    """
     stats = cut(document_statistics(docs, key, text))
     return kinds(with_distribution(stats, key))

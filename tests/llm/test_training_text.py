@@ -227,3 +227,19 @@ def test_link(spark):
     assert {(r.spt_id, r.ext_id) for r in got} == {(1, 10), (2, 11), (1, 14)}
     assert all(0.5 < r.confidence <= 1 for r in got)
     assert linkage.link(L.limit(0), E).count() == 0 and linkage.link(L, E.limit(0)).count() == 0
+
+
+def test_tails_decide_the_kind(spark):
+    rng = random.Random(9)
+    words = [w.strip(".") for w in PROSE_EN.split()]
+    rows = [(i, PROSE_EN + " ".join(rng.sample(words, rng.randint(6, 18))) + ".") for i in range(60)]
+    special = {
+        100: ("junk", "no no no no"), 101: ("junk", "\n".join(["sandy silt below"] * 7)), 102: ("table", "\n".join("12.3\t4.5\t7.8" for _ in range(9))), 103: ("prose", "".join(chr(ord(c) + 0xFEE0) if c.isalnum() else c for c in PROSE_EN)),
+        104: ("list", "fill\nsandy silt\ngravel"), 105: ("prose", "# Title\n" + PROSE_EN), 106: ("junk", "a b c d e f g h i j k l"), 107: ("table", "a | b | c\n1 | 2 | 3\n4 | 5 | 6"),
+    }
+    df = spark.createDataFrame(rows + [(k, t) for k, (_, t) in special.items()], "id long, t string")
+    got = {r.id: r for r in quality.judge_documents(df, "id", "t").collect()}
+    assert {k: got[k].doc_kind for k in special} == {k: v for k, (v, _) in special.items()}
+    for r in got.values():
+        assert bool(r.decided_by) == (r.doc_kind != "prose") and set(r.decided_by) <= set(r.tails)
+    assert {got[i].doc_kind for i in range(60)} == {"prose"}
