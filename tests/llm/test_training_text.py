@@ -243,3 +243,49 @@ def test_tails_decide_the_kind(spark):
     for r in got.values():
         assert bool(r.decided_by) == (r.doc_kind != "prose") and set(r.decided_by) <= set(r.tails)
     assert {got[i].doc_kind for i in range(60)} == {"prose"}
+
+
+def _tests_and_readings(n, rng):
+    import datetime as dt
+
+    places, works = [a + b for a in "菱楓朝鶴鳩雲柳椿" for b in "沢原崎島町谷"], ["共同溝築造工事", "斜面対策工設計", "倉庫棟増築計画", "堤防補強計画"]
+    log, ext = [], []
+    for i in range(n):
+        site = rng.choice(places) + "第" + rng.choice("一二三四五") + rng.choice(works) + str(i // 8)
+        hole, z, blows, elev, day = rng.randint(1, 9), 1.15 + rng.randint(0, 11), [rng.randint(0, 20) for _ in range(3)], round(rng.random() * 60, 2), dt.date(2010, 1, 1) + dt.timedelta(rng.randint(0, 900))
+        log.append((i, site, f"B-{hole}", 40.0 + rng.random(), 140.0 + rng.random(), elev, day, z, *blows, sum(blows), 30, "細砂"))
+        ext.append((10_000_000 + i, site.replace("第", "弟"), f"B-{hole}", None, None, str(elev) if i % 3 else None, day.isoformat() if i % 2 else None, str(z), ",".join(map(str, blows)), str(sum(blows)), None, None))
+    return log, ext
+
+
+def test_candidates_grow_with_the_rows(spark):
+    n = {}
+    for size in (400, 4000):
+        log, ext = _tests_and_readings(size, random.Random(size))
+        got = linkage.partial_keys(linkage.logged_rows(spark.createDataFrame(log, LOG)), linkage.extracted_rows(spark.createDataFrame(ext, EXT))).collect()
+        n[size] = len(got)
+        assert sum(r.ext_id - 10_000_000 == r.spt_id for r in got) == size
+    assert n[4000] <= 10 * 1.5 * n[400]
+
+
+def test_a_third_of_the_rows_alike(spark):
+    log, ext = _tests_and_readings(300, random.Random(1))
+    same = log[0][1:]
+    log += [(1000 + i, *same) for i in range(150)]  # copies of one test
+    log += [(2000 + i, *same[:4], None, None, *same[6:10], same[10], 30, f"土{i}") for i in range(100)]  # alike, and not told apart by a reading
+    ext += [(20_000_000 + i, *ext[0][1:]) for i in range(150)]
+    got = {r.ext_id: r.spt_id for r in linkage.link(spark.createDataFrame(log, LOG), spark.createDataFrame(ext, EXT)).collect()}
+    assert sum(got.get(10_000_000 + i) == i for i in range(1, 300)) >= 297
+    assert {got.get(20_000_000 + i) for i in range(150)} == {got.get(10_000_000)}
+
+
+def test_runs_share_their_edges(spark):
+    rng = random.Random(4)
+    rows = [(e, s, rng.random(), 4.0, (e % 5, 1.0, "d", 3, 2)) for s in range(3) for e in range(s * 20, s * 20 + 30)]
+    pairs = spark.createDataFrame(rows, "ext_id long, spt_id long, m double, w double, sig struct<e_hole_no:int,e_elev:double,e_test_date:string,e_n:int,e_total:int>")
+    exact = linkage.Rules(tolerance=1e-5, rounds=200)
+    whole = {(r.ext_id, r.spt_id): r.confidence for r in linkage.solve(pairs, exact).collect()}
+    import dataclasses
+
+    split = {(r.ext_id, r.spt_id): r.confidence for r in linkage.solve(pairs, dataclasses.replace(exact, run=7)).collect()}
+    assert whole.keys() == split.keys() == {(r[0], r[1]) for r in rows} and max(abs(whole[k] - split[k]) for k in whole) < 1e-3
