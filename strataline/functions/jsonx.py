@@ -22,24 +22,109 @@ def _looks_started(text: str, at: int) -> bool:
     return rest[0] in '"}' if text[at] == "{" else rest[0] in '[{"]-0123456789tfn'
 
 
+_NUMBER = re.compile(r"-?(?:0|[1-9]\d*)(\.\d+)?([eE][-+]?\d+)?")
+_BLANK = re.compile(r"[ \t\n\r]*")
+_WORDS = {"true": True, "false": False, "null": None, "NaN": math.nan, "Infinity": math.inf, "-Infinity": -math.inf}
+
+
+def decode_deep(text: str, at: int = 0) -> tuple[Any, int]:
+    """(value, place after it) of the JSON at ``at``, nested as deep as it may be; ValueError if there is none.
+
+    Containers still open stand on a list, not on the interpreter's stack.
+    """
+    holder: list = []  # the value found goes here
+    stack: list[tuple[Any, str | None]] = [(holder, None)]
+
+    def skip(i: int) -> int:
+        return _BLANK.match(text, i).end()
+
+    i = skip(at)
+    while True:
+        # a value begins at i
+        ch = text[i : i + 1]
+        opened = None
+        if ch == '"':
+            value, i = json.decoder.scanstring(text, i + 1, True)
+        elif ch == "{" or ch == "[":
+            value = opened = {} if ch == "{" else []
+            i += 1
+        elif (word := next((w for w in _WORDS if text.startswith(w, i)), None)) is not None:
+            value, i = _WORDS[word], i + len(word)
+        elif m := _NUMBER.match(text, i):
+            value, i = (float(m[0]) if m[1] or m[2] else int(m[0])), m.end()
+        else:
+            raise ValueError(f"no value at {i}")
+        inside, key = stack[-1]
+        if isinstance(inside, list):
+            inside.append(value)
+        else:
+            inside[key] = value
+        fresh = opened is not None
+        if fresh:
+            stack.append((opened, None))
+        # what follows: more of the open container, or its end
+        while len(stack) > 1:
+            inside, _ = stack[-1]
+            i = skip(i)
+            ch = text[i : i + 1]
+            if ch == ("}" if isinstance(inside, dict) else "]"):
+                stack.pop()
+                i, fresh = i + 1, False
+                continue
+            if not fresh:
+                if ch != ",":
+                    raise ValueError(f"no delimiter at {i}")
+                i = skip(i + 1)
+                ch = text[i : i + 1]
+            if isinstance(inside, dict):
+                if ch != '"':
+                    raise ValueError(f"no key at {i}")
+                key, i = json.decoder.scanstring(text, i + 1, True)
+                i = skip(i)
+                if text[i : i + 1] != ":":
+                    raise ValueError(f"no colon at {i}")
+                stack[-1] = (inside, key)
+                i = skip(i + 1)
+            break
+        else:
+            return holder[0], i
+
+
+def _loads(text: str) -> Any:
+    try:
+        return json.loads(text)
+    except RecursionError:
+        got, end = decode_deep(text)
+        if text[end:].strip():
+            raise ValueError("text after the JSON") from None
+        return got
+
+
+def _raw_decode(text: str, at: int) -> Any:
+    try:
+        return _DECODER.raw_decode(text, at)[0]
+    except RecursionError:
+        return decode_deep(text, at)[0]
+
+
 def read_document(text: str | None) -> Any | None:
     """The JSON object or array that a text holds, or None.
 
     Text before and after it is ignored. JSON that stops before its end gives None: a part of a
-    record must not pass for the record. A string that itself holds JSON is opened.
+    record must not pass for the record. A string that itself holds JSON is opened. Any depth is read.
     """
     if not text:
         return None
     try:
-        got = json.loads(text)
-    except (ValueError, RecursionError):
+        got = _loads(text)
+    except ValueError:
         got = None
         for m in _OPEN.finditer(text):
             if not _looks_started(text, m.start()):
                 continue
             try:
-                got, _ = _DECODER.raw_decode(text, m.start())
-            except (ValueError, RecursionError):
+                got = _raw_decode(text, m.start())
+            except ValueError:
                 got = None
             break
     if isinstance(got, str):
@@ -54,8 +139,8 @@ def open_string(text: str) -> Any:
     head = text.lstrip()[:1]
     if head == "{" or head == "[":
         try:
-            got = json.loads(text)
-        except (ValueError, RecursionError):
+            got = _loads(text)
+        except ValueError:
             return text
         if isinstance(got, (dict, list)):
             return got
@@ -89,20 +174,35 @@ def value_key(v: Any) -> str | None:
     return f"{f:.10g}" if math.isfinite(f) else t
 
 
-def labels_of(doc: Any) -> dict[str, dict[str, int]]:
-    """Label (keys joined by dots, no element numbers) -> counts of the JSON types met there."""
-    out: dict[str, dict[str, int]] = {}
+def path_values(doc: Any) -> dict[str, tuple[dict[str, int], list]]:
+    """The path-value map of a record: label -> (counts of the JSON types met there, the scalars there).
+
+    A label is the path of keys joined by dots, without element numbers. The scalars of an array stand at its
+    label, which counts as an array; scalars are in document order. JSON in a string counts as what it holds.
+    """
+    out: dict[str, tuple[dict[str, int], list]] = {}
     stack: list[tuple[str, Any]] = [("", doc)]
     while stack:
         path, v = stack.pop()
         if type(v) is list:
+            inner = []
             for x in v:
-                if type(x) is str:
+                if type(x) is str and x[:1] in _MAY_OPEN:
                     x = open_string(x)
-                if type(x) is dict or type(x) is list:
-                    stack.append((path, x))
+                inner.append(x)
+            if any(type(x) is dict or type(x) is list for x in inner):
+                if path and not all(type(x) is dict for x in inner):  # scalars between containers keep their place
+                    stack.extend((path, x if type(x) is dict or type(x) is list else _Scalar(x)) for x in reversed(inner))
+                else:
+                    stack.extend((path, x) for x in reversed(inner) if type(x) is dict or type(x) is list)
+            elif path:
+                out[path][1].extend(inner)
+            continue
+        if type(v) is _Scalar:
+            out[path][1].append(v.value)
             continue
         prefix = path + "." if path else ""
+        later = []
         for k, x in v.items():
             p = prefix + k
             if type(x) is str and x[:1] in _MAY_OPEN:
@@ -110,14 +210,24 @@ def labels_of(doc: Any) -> dict[str, dict[str, int]]:
             kind = _TYPES[type(x)]
             met = out.get(p)
             if met is None:
-                out[p] = {kind: 1}
-            else:
-                met[kind] = met.get(kind, 0) + 1
+                met = out[p] = ({}, [])
+            met[0][kind] = met[0].get(kind, 0) + 1
             if kind == "object" or kind == "array":
-                stack.append((p, x))
+                later.append((p, x))
+            else:
+                met[1].append(x)
+        later.reverse()
+        stack.extend(later)
     return out
 
 
+class _Scalar:
+    __slots__ = ("value",)
+
+    def __init__(self, value: Any):
+        self.value = value
+
+
 def leaves_below(v: Any) -> Iterator[Any]:
     stack = [v]
     while stack:

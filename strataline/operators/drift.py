@@ -1,12 +1,13 @@
 """Records whose fields drift between batches: change report and one consistent typed table.
 
-Method: every record is read as a path-value map with raw JSON types; statistics of path and type are
-aggregated per batch (already inside each Arrow batch, so the shuffle carries schema-sized rows, not
-records); the statistics give the change report and the target types; typed columns are then projected
-from the maps and values that do not fit are reported as failed casts.
-
-Only schema-sized data (label lists of a batch, bounded by the number of distinct labels) is ever
-gathered into arrays or on the driver; records and values stay distributed.
+Method: every record (one per file and batch) is read as a path-value map with raw JSON types. Statistics of path
+and type are taken per file from its map and summed up over the files of a batch inside each Arrow batch, so what
+is shuffled is schema-sized, not records; the maps themselves, several times the size of the JSON, are never
+written. The statistics give the change report and the target types; typed columns are then projected from the
+maps and values that do not fit are reported as failed casts.
+
+Only schema-sized data (label lists of a batch, the columns of the table) is ever gathered into arrays or on the
+driver; records and values stay distributed.
 """
 
 from __future__ import annotations
@@ -54,48 +55,31 @@ def _is_number(v: object) -> bool:
     return True
 
 
-def _raw_values(doc: object) -> dict[str, list]:
-    """Label -> the scalars met there, in document order."""
-    out: dict[str, list] = {}
-
-    def walk(path: str, v: object) -> None:
-        if isinstance(v, str):
-            v = jsonx.open_string(v)
-        if isinstance(v, dict):
-            for k, x in v.items():
-                walk(f"{path}.{k}" if path else k, x)
-        elif isinstance(v, list):
-            for x in v:
-                walk(path, x)
-        elif path:
-            out.setdefault(path, []).append(v)
-
-    walk("", doc)
-    return out
-
-
-def type_statistics(records: DataFrame, c: Drift = Drift(), values: bool = False) -> DataFrame:
+def type_statistics(records: DataFrame, c: Drift = Drift(), values: bool = False, by: tuple[str, ...] | None = None) -> DataFrame:
     """(series, batch, label, json_type, is_numeric, is_many, n): records of a batch by label and raw type.
 
-    ``is_numeric`` (all values of the record can be read as numbers) is looked at only with ``values``; then
-    ``is_many`` means more than one scalar in the record, and ``has_scalar`` that one of them is not null.
+    ``by`` names other columns to count by (such as the file). ``is_numeric`` (all values of the record can be
+    read as numbers) is looked at only with ``values``; then ``is_many`` means more than one scalar in the record,
+    and ``has_scalar`` that one of them is not null.
 
     Label '' carries the number of readable records. A record counts once per label, with the type it
     gives most often, nulls aside (only nulls: type 'null'). Unreadable or null data adds nothing; an
-    empty table gives an empty result.
+    empty table gives an empty result. Null keys are keys of their own.
     """
+    by = (c.series, c.batch) if by is None else by
 
     def agg(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n: dict[tuple, int] = {}
-            for s, k, d in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            *keys, data = (b.column(i).to_pylist() for i in range(len(by) + 1))
+            for *at, d in zip(*keys, data, strict=True):
                 doc = jsonx.read_document(d)
                 if doc is None:
                     continue
-                key = (s, k, "", "record", False, False, *[False] * values)
+                at = tuple(at)
+                key = (*at, "", "record", False, False, *[False] * values)
                 n[key] = n.get(key, 0) + 1
-                raw = _raw_values(doc) if values else {}
-                for label, types in jsonx.labels_of(doc).items():
+                for label, (types, met) in jsonx.path_values(doc).items():
                     if len(types) == 1:
                         kind, m = next(iter(types.items()))
                         many = m > 1 or kind == "array"
@@ -105,21 +89,20 @@ def type_statistics(records: DataFrame, c: Drift = Drift(), values: bool = False
                         many = True
                     numeric, held = False, ()
                     if values:
-                        met = raw.get(label, ())
                         vals = [v for v in met if jsonx.value_key(v) is not None]
                         numeric = bool(vals) and all(map(_is_number, vals))
                         many, held = len(met) > 1, (any(v is not None for v in met),)
-                    key = (s, k, label, kind, numeric, many, *held)
+                    key = (*at, label, kind, numeric, many, *held)
                     n[key] = n.get(key, 0) + 1
             cols = list(zip(*(key + (m,) for key, m in n.items()), strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, arrow, strict=True)], names=names)
 
-    names = [c.series, c.batch, "label", "json_type", "is_numeric", "is_many", *["has_scalar"] * values, "n"]
-    arrow = [pa.string(), pa.int32(), pa.string(), pa.string(), *[pa.bool_()] * (2 + values), pa.int64()]
-    schema = f"`{c.series}` string, `{c.batch}` int, label string, json_type string, is_numeric boolean, is_many boolean, {'has_scalar boolean, ' * values}n bigint"
-    slim = records.select(F.col(c.series).cast("string"), F.col(c.batch).cast("int"), F.col(c.data).cast("string"))
-    keys = names[:-1]
-    return slim.mapInArrow(agg, schema).groupBy(*keys).agg(F.sum("n").alias("n"))
+    names = [*by, "label", "json_type", "is_numeric", "is_many", *["has_scalar"] * values, "n"]
+    kinds = ["int" if k == c.batch else "string" for k in by]
+    arrow = [*[pa.int32() if k == "int" else pa.string() for k in kinds], pa.string(), pa.string(), *[pa.bool_()] * (2 + values), pa.int64()]
+    schema = ", ".join([*(f"`{k}` {t}" for k, t in zip(by, kinds, strict=True)), f"label string, json_type string, is_numeric boolean, is_many boolean, {'has_scalar boolean, ' * values}n bigint"])
+    slim = records.select(*[F.col(k).cast(t) for k, t in zip(by, kinds, strict=True)], F.col(c.data).cast("string"))
+    return slim.mapInArrow(agg, schema).groupBy(*names[:-1]).agg(F.sum("n").alias("n"))
 
 
 def labels_in_force(stats: DataFrame, c: Drift = Drift()) -> DataFrame:
@@ -250,15 +233,23 @@ def notation_changes(paths: DataFrame, series: str, batch: str, field: str) -> D
     return most.withColumn("__before", prev).where("__before is not null and __before <> __way").select(series, batch)
 
 
-def batchwise(results: DataFrame, c: Drift = Drift(), salts: int = 4) -> DataFrame:
-    """Each record once, with the records of a batch side by side in ``salts`` partitions.
+def batchwise(results: DataFrame, c: Drift = Drift(), rows_at_once: int = 20_000) -> DataFrame:
+    """Each record once, with the records of a batch side by side, about ``rows_at_once`` of them to a task.
 
-    One shuffle serves both, and what is counted per batch is then counted before it is moved again. A batch
-    with a large share of all rows is spread over the salts.
+    One shuffle serves both, and what is counted per batch is then counted before it is moved again. Larger
+    batches, counted from their keys alone, are spread over more tasks by the hash of the record, so the work of
+    a task stays the same however large a batch is.
     """
-    salt = F.pmod(F.xxhash64(c.record), F.lit(salts))
     keys = [c.record, c.series, c.batch, c.file, c.data, c.delivered]
-    together = results.select(*keys, salt.alias("__salt")).repartition(c.series, c.batch, "__salt")
+    r = results.select(*keys)
+    large = cut(r.groupBy(c.series, c.batch).agg(F.count("*").alias("__n")).where(F.col("__n") > rows_at_once))
+    n = large.count()
+    if n:  # at most one row in so many of the input; sent to all only where that is little
+        r = r.join(F.broadcast(large) if n <= 100_000 else large, [c.series, c.batch], "left")
+        salt = F.pmod(F.xxhash64(c.record), F.ceil(F.coalesce("__n", F.lit(1)) / rows_at_once))
+    else:
+        salt = F.lit(0)
+    together = r.select(*keys, salt.cast("int").alias("__salt")).repartition(c.series, c.batch, "__salt")
     return first_delivery(together, [c.series, c.batch, "__salt", c.record], [c.delivered]).drop("__salt")
 
 
@@ -282,11 +273,12 @@ class Column:
     many: bool
 
 
-def consistent_columns(records: DataFrame, c: Drift = Drift(), max_labels: int = 20_000) -> list[Column]:
-    """The columns of the consistent table: all labels of scalars, in force or not, renamed ones under one name.
+def consistent_columns(records: DataFrame, c: Drift = Drift(), max_columns: int = 2_000) -> list[Column]:
+    """The columns of the consistent table: labels of scalars, in force or not, renamed ones under one name.
 
-    Read on the driver from schema-sized statistics: one row per distinct label and one per distinct
-    rename, at most ``max_labels`` (more would not be a schema; that raises ValueError).
+    At most the ``max_columns`` labels with most batches and records; the values of all others stay in the
+    table's map of further labels. Read on the driver from schema-sized statistics, one row per label chosen
+    and one per rename between two of these.
     """
     stats = cut(type_statistics(records, c, values=True))
     force = labels_in_force(stats, c)
@@ -296,11 +288,12 @@ def consistent_columns(records: DataFrame, c: Drift = Drift(), max_labels: int =
         F.sum(F.when(F.col("is_numeric"), F.col("n")).otherwise(0)).alias("numeric"),
         F.sum(F.when(F.col("is_many"), F.col("n")).otherwise(0)).alias("many"),
         F.sum(F.when(F.col("has_scalar"), F.col("n")).otherwise(0)).alias("scalar"),
-    )
-    rows = {r["label"]: r for r in kinds.join(use, "label", "left").na.fill(0, ["batches"]).limit(max_labels + 1).collect()}
-    pairs = label_changes(records, c, stats).where("change_kind = 'renamed'").select("label", "detail").distinct().limit(max_labels + 1).collect()
-    if max(len(rows), len(pairs)) > max_labels:
-        raise ValueError(f"more than {max_labels} labels: this is data in key position, not a schema")
+    ).where("scalar > 0")
+    chosen = cut(kinds.join(use, "label", "left").na.fill(0, ["batches"]).orderBy(F.desc("batches"), F.desc("n"), "label").limit(max_columns))
+    rows = {r["label"]: r for r in chosen.collect()}
+    known = chosen.select("label")
+    pairs = label_changes(records, c, stats).where("change_kind = 'renamed'").select("label", "detail").distinct()
+    pairs = pairs.join(known, "label", "left_semi").join(known.withColumnRenamed("label", "detail"), "detail", "left_semi").collect()
     head: dict[str, str] = {}
 
     def find(x: str) -> str:
@@ -308,8 +301,8 @@ def consistent_columns(records: DataFrame, c: Drift = Drift(), max_labels: int =
             x = head[x]
         return x
 
-    for p in pairs:
-        a, b = find(p["label"]), find(p["detail"])
+    for p in sorted((p["label"], p["detail"]) for p in pairs):
+        a, b = map(find, p)
         if a != b:
             head[b] = a
     groups: dict[str, list[str]] = {}
@@ -319,41 +312,45 @@ def consistent_columns(records: DataFrame, c: Drift = Drift(), max_labels: int =
     for members in groups.values():
         at = [rows[m] for m in members]
         scalar = sum(r["scalar"] for r in at)
-        if not scalar:
-            continue
         best = min(at, key=lambda r: (-r["batches"], -r["n"], r["label"]))["label"]
         out.append(Column(best, tuple(sorted(members)), sum(r["numeric"] for r in at) * 10 >= 9 * scalar, any(r["many"] for r in at)))
     return sorted(out, key=lambda x: x.label)
 
 
 def raw_values(records: DataFrame, columns: list[Column], c: Drift = Drift()) -> DataFrame:
-    """Each readable record's ids and ``raw``: column label -> list of (json_type, text), renames applied."""
+    """Each readable record's ids, ``raw``: column label -> list of (json_type, text), renames applied, and
+    ``rest``: label -> the same for every label that is in no column. Together they hold every scalar."""
     to = {a: col.label for col in columns for a in col.aliases}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, maps = [[] for _ in range(b.num_columns - 1)], []
+            ids, maps, rests = [[] for _ in range(b.num_columns - 1)], [], []
             for *key, d in zip(*(b.column(i).to_pylist() for i in range(b.num_columns)), strict=True):
                 doc = jsonx.read_document(d)
                 if doc is None:
                     continue
                 m: dict[str, list] = {}
-                for label, vals in _raw_values(doc).items():
-                    if (name := to.get(label)) is not None:
-                        m.setdefault(name, []).extend({"json_type": jsonx.json_type(v), "text": jsonx.scalar_text(v)} for v in vals)
+                rest: dict[str, list] = {}
+                for label, (_, vals) in jsonx.path_values(doc).items():
+                    if vals:
+                        name = to.get(label)
+                        put = rest.setdefault(label, []) if name is None else m.setdefault(name, [])
+                        put.extend({"json_type": jsonx.json_type(v), "text": jsonx.scalar_text(v)} for v in vals)
                 for x, v in zip(ids, key, strict=True):
                     x.append(v)
                 maps.append(list(m.items()))
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(ids, arrow, strict=True)), pa.array(maps, held)], names=names)
+                rests.append(list(rest.items()))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(ids, arrow, strict=True)), pa.array(maps, held), pa.array(rests, held)], names=names)
 
     held = pa.map_(pa.string(), pa.list_(pa.struct([("json_type", pa.string()), ("text", pa.string())])))
-    names = [c.record, c.series, c.batch, c.file, "raw"]
+    names = [c.record, c.series, c.batch, c.file, "raw", "rest"]
     arrow = [pa.int64(), pa.string(), pa.int32(), pa.string()]
     slim = records.select(F.col(c.record).cast("bigint"), F.col(c.series).cast("string"), F.col(c.batch).cast("int"), F.col(c.file).cast("string"), F.col(c.data).cast("string"))
-    return slim.mapInArrow(read, f"`{c.record}` bigint, `{c.series}` string, `{c.batch}` int, `{c.file}` string, raw map<string,array<struct<json_type:string,text:string>>>")
+    map_ = "map<string,array<struct<json_type:string,text:string>>>"
+    return slim.mapInArrow(read, f"`{c.record}` bigint, `{c.series}` string, `{c.batch}` int, `{c.file}` string, raw {map_}, rest {map_}")
 
 
-def column_names(columns: list[Column], taken: tuple[str, ...] = ("result_id", "series_id", "batch_no", "file")) -> dict[str, str]:
+def column_names(columns: list[Column], taken: tuple[str, ...] = ("result_id", "series_id", "batch_no", "file", "further_labels")) -> dict[str, str]:
     """Label -> column name: dots become '__'; names that differ only in case, or clash with an id, get a number."""
     used, out = {x.lower() for x in taken}, {}
     for col in columns:
@@ -376,7 +373,8 @@ def consistent_table(records: DataFrame, columns: list[Column], c: Drift = Drift
 
     Numbers are double, everything else string; labels of which a record has several values become arrays in
     document order. A value that does not fit its type is null here and counted by ``cast_failures``, as are
-    the values after the first where a record has several only under an old and a new name.
+    the values after the first where a record has several only under an old and a new name. ``further_labels``
+    holds what is in no column: label -> its values as text.
     """
     raw = raw_values(records, columns, c)
     cols, names = [], column_names(columns)
@@ -387,22 +385,26 @@ def consistent_table(records: DataFrame, columns: list[Column], c: Drift = Drift
         else:
             got = F.transform(got, lambda v: v["text"])
         cols.append((got if col.many else F.try_element_at(got, F.lit(1))).alias(names[col.label]))
-    return raw.select(c.record, c.series, c.batch, c.file, *cols)
+    rest = F.transform_values("rest", lambda _, got: F.transform(got, lambda v: v["text"]))
+    return raw.select(c.record, c.series, c.batch, c.file, *cols, rest.alias("further_labels"))
 
 
 def cast_failures(records: DataFrame, columns: list[Column], c: Drift = Drift()) -> DataFrame:
-    """(label, target_type, json_type, n_values, n_failed, n_unheld, example) for every column and raw type.
+    """(label, target_type, json_type, n_values, n_failed, n_unheld, example) for every label and raw type.
 
-    ``n_unheld`` counts values after the first of a record in a column that is no array.
+    ``n_unheld`` counts values after the first of a record in a column that is no array. Labels without a column
+    have the target type 'further'; their values are kept as text.
     """
     single = F.array(*[F.lit(x.label) for x in columns if not x.many]).cast("array<string>")
-    numeric = F.array(*[F.lit(x.label) for x in columns if x.numeric]) if any(x.numeric for x in columns) else F.array().cast("array<string>")
-    rows = raw_values(records, columns, c).select(F.explode("raw").alias("label", "vals")).select("label", F.posexplode("vals").alias("at", "v"))
-    is_num = F.array_contains(numeric, F.col("label"))
+    numeric = F.array(*[F.lit(x.label) for x in columns if x.numeric]).cast("array<string>")
+    raw = raw_values(records, columns, c)
+    rows = raw.select(F.lit(True).alias("held"), F.explode("raw").alias("label", "vals")).unionByName(raw.select(F.lit(False).alias("held"), F.explode("rest").alias("label", "vals")))
+    rows = rows.select("held", "label", F.posexplode("vals").alias("at", "v"))
+    is_num = F.col("held") & F.array_contains(numeric, F.col("label"))
     text = _clean(F.col("v.text"))
     bad = is_num & (text != "") & text.try_cast("double").isNull()
-    return rows.groupBy("label", F.when(is_num, "double").otherwise("string").alias("target_type"), F.col("v.json_type").alias("json_type")).agg(
+    target = F.when(~F.col("held"), "further").when(is_num, "double").otherwise("string")
+    return rows.groupBy("label", target.alias("target_type"), F.col("v.json_type").alias("json_type")).agg(
         F.count("v.text").alias("n_values"), F.count(F.when(bad, 1)).alias("n_failed"),
-        F.count(F.when((F.col("at") > 0) & F.array_contains(single, F.col("label")), F.col("v.text"))).alias("n_unheld"), F.min(F.when(bad, F.col("v.text"))).alias("example"),
+        F.count(F.when(F.col("held") & (F.col("at") > 0) & F.array_contains(single, F.col("label")), F.col("v.text"))).alias("n_unheld"), F.min(F.when(bad, F.col("v.text"))).alias("example"),
     )
-

@@ -14,6 +14,37 @@ from strataline.sources.tables import table
 SERIES_LABELS = ["混入物", "試験項目", "使用機器一覧", "試料番号一覧", "貫入量内訳"]
 
 
+#: A node's label: its path without '$', quotes and element numbers.
+_LABEL = r"""trim(regexp_replace(regexp_replace(replace(j.fullkey, '"', ''), '^\$\.?', ''), '\[\d+\]\.?', '.', 'g'), '.')"""
+#: Is the text of a string node JSON of its own?
+_OPEN = r"(type = 'VARCHAR' and regexp_matches(text, '^\s*[{\[]') and json_valid(text))"
+#: Every JSON text of every result: what ``data`` holds, then what strings in it hold, with the label they stand at.
+_WALK_SQL = rf"""with recursive once as (
+  select result_id, series_id, batch_no, file, data from (select *, row_number() over (partition by result_id order by loaded_at nulls last) as k from extraction_result) where k = 1),
+doc as (
+  select result_id, case when json_valid(data) then cast(data as json) when json_valid(body) then cast(body as json) end as doc
+  from (select result_id, data, regexp_extract(data, '(?s)[{{\[].*[}}\]]') as body from once where data is not null)),
+opened as (select result_id, case when json_type(doc) = 'VARCHAR' then case when json_valid(doc ->> '$') then cast(doc ->> '$' as json) end else doc end as doc from doc),
+walk as (
+  select result_id, '' as prefix, false as named, doc from opened where json_type(doc) in ('OBJECT', 'ARRAY')
+  union all
+  select result_id, prefix || case when prefix <> '' and l <> '' then '.' else '' end || l, case when id = 0 then named else not ends_with(fullkey, ']') end, cast(text as json)
+  from (select w.result_id, w.prefix, w.named, {_LABEL} as l, j.id, j.fullkey, j.type, j.value ->> '$' as text from walk w, json_tree(w.doc) j where j.type = 'VARCHAR')
+  where {_OPEN})"""
+_SAID_SQL = rf"""{_WALK_SQL},
+node as (
+  select result_id, prefix || case when prefix <> '' and l <> '' then '.' else '' end || l as label, {_OPEN} as inner_json,
+    case when id = 0 then named else not ends_with(fullkey, ']') end as counts,
+    case type when 'OBJECT' then 'object' when 'ARRAY' then 'array' when 'NULL' then 'null' when 'BOOLEAN' then 'boolean' when 'VARCHAR' then 'string' else 'number' end as t
+  from (select w.result_id, w.prefix, w.named, {_LABEL} as l, j.id, j.fullkey, j.type, j.value ->> '$' as text from walk w, json_tree(w.doc) j)),
+met as (select result_id, label, t, count(*) as m from node where counts and not inner_json and label <> '' group by all),
+best as (
+  select result_id, label, count(*) as kinds, sum(m) as m, coalesce(arg_min(t, (-m, t)) filter (where t <> 'null'), 'null') as json_type from met group by all),
+said as (
+  select result_id, label, json_type, kinds > 1 or m > 1 or json_type = 'array' as is_many from best
+  union all select distinct result_id, '', 'record', false from walk where prefix = '' and not named)"""
+
+
 def _results(spark: SparkSession, sf: str) -> DataFrame:
     return first_delivery(
         table(spark, sf, "extraction_result").select("result_id", "series_id", "batch_no", "file", "data", "loaded_at"), ["result_id"], ["loaded_at"]
@@ -38,6 +69,12 @@ def p1_type_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return drift.type_statistics(_results(spark, sf))
 
 
+def p1_file_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """How many records of each file have a label with which type."""
+    stats = drift.type_statistics(_results(spark, sf), by=("file",))
+    return stats.groupBy("file", "label", "json_type").agg(F.sum("n").alias("n"))
+
+
 def packed_rows(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "incorrect_examples").select("example_id", "field", "xml", "llm", "loaded_at")
     label = plain_label(F.col("field"))
@@ -84,8 +121,13 @@ QUERIES = {
     "p1_table": p1_table,
     "p1_cast_failures": p1_cast_failures,
     "p1_type_statistics": p1_type_statistics,
+    "p1_file_statistics": p1_file_statistics,
     "p3_found": p3_found,
     "p5_found": p5_found,
     "p5_nodes": p5_nodes,
     "p5_spt_blows": p5_spt_blows,
 }
+ORACLE_SQL: dict[str, str] = {
+    "p1_type_statistics": f"{_SAID_SQL} select series_id, cast(batch_no as int) as batch_no, label, json_type, false as is_numeric, is_many, count(*) as n from said join once using (result_id) group by all",
+    "p1_file_statistics": f"{_SAID_SQL} select file, label, json_type, count(*) as n from said join once using (result_id) group by all",
+}

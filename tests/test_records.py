@@ -75,7 +75,57 @@ def test_columns_hold_every_value(spark):
     assert {c.label: (c.numeric, c.many) for c in cols} == {"few": (True, True), "kind": (False, False), "kind.z": (False, False), "list": (False, True), "one": (True, False)}
     out = {(x.batch_no, x.file): x for x in drift.consistent_table(r, cols).collect()}
     assert out[2, "f0"].few == [1.0, 2.0] and out[1, "f3"].list == ["x3", "y"] and out[1, "f3"].one == 3.0 and out[1, "f0"].kind == "plain"
-    assert {(x.label, x.n_values, x.n_unheld) for x in drift.cast_failures(r, [drift.Column("list", ("few", "list"), False, False)]).collect()} == {("list", 121, 81)}
+    report = drift.cast_failures(r, [drift.Column("list", ("few", "list"), False, False)]).collect()
+    assert {(x.label, x.n_values, x.n_unheld) for x in report if x.target_type != "further"} == {("list", 121, 81)}
+    assert {(x.label, x.n_values) for x in report if x.target_type == "further"} == {("kind", 2), ("kind.z", 38), ("one", 40)}
+
+
+def test_table_and_report_hold_every_value(spark):
+    """Values in = values of the table + values reported, whatever the number of columns."""
+    rng = random.Random(8)
+
+    def make(d=0):
+        r = rng.random()
+        if d < 3 and (r < 0.5 or d == 0):
+            return {rng.choice("abcdef") + str(rng.randint(0, 2)): make(d + 1) for _ in range(rng.randint(0, 4))}
+        if d < 3 and r < 0.7:
+            return [make(d + 1) for _ in range(rng.randint(0, 3))]
+        return rng.choice(["x", "7", 7, 2.5, True, '{"q": [1, "2"]}', "７"])
+
+    docs = [make() for _ in range(150)]
+    r = records(spark, [("s", i % 3, f"f{i}", d) for i, d in enumerate(docs)])
+    want = {}
+    for i, d in enumerate(docs):
+        for label, (_, met) in jsonx.path_values(d).items():
+            for v in met:
+                want[i] = want.get(i, 0) + (v is not None)
+    for most in (2_000, 5, 1):
+        cols = drift.consistent_columns(r, max_columns=most)
+        assert len(cols) <= most
+        failed = {(x.label, x.target_type, x.json_type): (x.n_failed, x.n_unheld, x.n_values) for x in drift.cast_failures(r, cols).collect()}
+        held = 0
+        for row in drift.consistent_table(r, cols).collect():
+            for k, v in row.asDict().items():
+                if k == "further_labels":
+                    held += sum(y is not None for x in v.values() for y in x)
+                elif k not in ("result_id", "series_id", "batch_no", "file"):
+                    held += sum(y is not None for y in v) if isinstance(v, list) else v is not None
+        assert held + sum(a + b for a, b, _ in failed.values()) == sum(want.values()) == sum(n for _, _, n in failed.values())
+
+
+def test_large_batches_are_spread(spark):
+    rows = [("s", 1 if i % 3 else 2, f"f{i}", {"a": i}) for i in range(300)]
+    r = records(spark, rows + rows[:0])
+    got = drift.batchwise(r.unionByName(r), rows_at_once=40)
+    assert got.count() == 300 and got.select("result_id").distinct().count() == 300
+    assert sorted((x.batch_no, x.label, x.n) for x in drift.type_statistics(got).collect()) == [(1, "", 200), (1, "a", 200), (2, "", 100), (2, "a", 100)]
+
+
+def test_records_nested_to_any_depth(spark):
+    deep = '{"a":' * 5000 + '{"b": [{"c": "1"}]}' + "}" * 5000
+    r = spark.createDataFrame([(1, "s", 1, "f", "text " + deep + " more", None), (2, "s", 1, "g", deep[:-1], None)], "result_id long, series_id string, batch_no int, file string, data string, loaded_at timestamp")
+    stats = drift.type_statistics(r).where("label <> ''").collect()
+    assert len(stats) == 5002 and {x.json_type for x in stats} == {"object", "array", "string"}
 
 
 def test_dedupe(spark):
