@@ -45,6 +45,43 @@ said as (
   union all select distinct result_id, '', 'record', false from walk where prefix = '' and not named)"""
 
 
+def _below_sql(source: str, lone: str) -> str:
+    """The objects and arrays directly in those of ``source``; ``lone`` is what an object alone has after its path."""
+    return rf"""
+  select rec_key, label, path || case when kind = 'OBJECT' and not numbered then {lone} else '' end as path, numbered, parent_path, doc, kind
+  from (select *, json_type(doc) as kind from (
+    select w.rec_key, w.label || case when w.kind = 'OBJECT' then case when w.label <> '' then '.' else '' end || j.key else '' end as label,
+      w.path || case when w.kind = 'ARRAY' then '[' || j.key || ']' when w.path <> '' then '.' || j.key else j.key end as path, w.kind = 'ARRAY' as numbered,
+      case when w.kind = 'OBJECT' then w.path else w.parent_path end as parent_path,
+      case when j.type = 'VARCHAR' and regexp_matches(j.value ->> '$', '^\s*[{{\[]') and json_valid(j.value ->> '$') then cast(j.value ->> '$' as json) else j.value end as doc
+    from {source} w, json_each(w.doc) j))
+  where kind in ('OBJECT', 'ARRAY')"""
+
+
+def _nodes_sql(once: str, o: str) -> str:
+    """CTE <o>_at: objects and arrays of every record with label, path and the path of the nearest object around."""
+    return rf"""
+{o}_doc as (
+  select rec_key, case when json_valid(data) then cast(data as json) when json_valid(body) then cast(body as json) end as doc
+  from (select rec_key, data, regexp_extract(data, '(?s)[{{\[].*[}}\]]') as body from {once} where data is not null)),
+{o}_root as (
+  select rec_key, '' as label, '' as path, true as numbered, cast(null as varchar) as parent_path, doc, json_type(doc) as kind
+  from (select rec_key, case when json_type(doc) = 'VARCHAR' then case when json_valid(doc ->> '$') then cast(doc ->> '$' as json) end else doc end as doc from {o}_doc)
+  where json_type(doc) in ('OBJECT', 'ARRAY')),
+{o}_plain as (select * from {o}_root union all {_below_sql(f"{o}_plain", "''")}),
+{o}_arrays as (select distinct label from {o}_plain where numbered and kind = 'OBJECT' and label <> ''),
+{o}_at as (select * from {o}_root union all {_below_sql(f"{o}_at", f"case when label in (select label from {o}_arrays) then '[0]' else '' end")})"""
+
+
+_FOUND_SQL = f"""with recursive
+rec as (select file as rec_key, record as data from (select *, row_number() over (partition by file order by loaded_at nulls last) as k from parse_xml) where k = 1),
+res as (select cast(result_id as varchar) as rec_key, data from (select *, row_number() over (partition by result_id order by loaded_at nulls last) as k from extraction_result) where k = 1),
+{_nodes_sql("rec", "a")},
+{_nodes_sql("res", "b")}
+select 'parse_xml' as origin, rec_key, parent_path, path from a_at where kind = 'OBJECT' and path <> ''
+union all select 'extraction_result', rec_key, parent_path, path from b_at where kind = 'OBJECT' and path <> ''"""
+
+
 def _results(spark: SparkSession, sf: str) -> DataFrame:
     return first_delivery(
         table(spark, sf, "extraction_result").select("result_id", "series_id", "batch_no", "file", "data", "loaded_at"), ["result_id"], ["loaded_at"]
@@ -88,10 +125,12 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _record_nodes(spark: SparkSession, sf: str, elements: bool = False) -> list[tuple[str, DataFrame]]:
-    xml = first_delivery(table(spark, sf, "parse_xml").select("file", "record", "loaded_at"), ["file"], ["loaded_at"])
+    """Node tables of both origins. A record delivered twice brings no array label of its own, so those are read without telling deliveries apart."""
+    xml, results = table(spark, sf, "parse_xml"), table(spark, sf, "extraction_result")
+    once = first_delivery(xml.select("file", "record", "loaded_at"), ["file"], ["loaded_at"])
     return [
-        ("parse_xml", nested.node_table(xml, "file", "record", elements=elements)),
-        ("extraction_result", nested.node_table(_results(spark, sf), "result_id", "data", elements=elements)),
+        ("parse_xml", nested.node_table(once, "file", "record", nested.array_label_table(xml, "record"), elements=elements)),
+        ("extraction_result", nested.node_table(_results(spark, sf), "result_id", "data", nested.array_label_table(results, "data"), elements=elements)),
     ]
 
 
@@ -128,6 +167,7 @@ QUERIES = {
     "p5_spt_blows": p5_spt_blows,
 }
 ORACLE_SQL: dict[str, str] = {
+    "p5_found": _FOUND_SQL,
     "p1_type_statistics": f"{_SAID_SQL} select series_id, cast(batch_no as int) as batch_no, label, json_type, false as is_numeric, is_many, count(*) as n from said join once using (result_id) group by all",
     "p1_file_statistics": f"{_SAID_SQL} select file, label, json_type, count(*) as n from said join once using (result_id) group by all",
 }

@@ -244,3 +244,22 @@ def test_flat_tables_hold_every_value(spark, tmp_path):
     blows = {(r.start_depth, r.span, r.blows) for r in core_queries.p5_spt_blows(spark, str(tmp_path)).collect()}
     assert blows == {("1.15", "10", "3"), ("2.15", None, "4"), ("2.15", None, "6")}
     assert core_queries.p5_found(spark, str(tmp_path)).where("origin = 'extraction_result'").count() == 2
+
+
+def test_nodes_nested_to_any_depth(spark):
+    n = 5000
+    deep = '{"a":' * n + '{"b": [{"c": "1"}, "x"]}' + "}" * n
+    df = spark.createDataFrame([("k", deep)], "k string, data string")
+    rows = nested.node_table(df, "k", "data", elements=True).select("pre", "post", "parent_pre", "depth", "kind").collect()
+    assert len(rows) == n + 3 and max(r.depth for r in rows) == n + 1
+    at = {r.pre: r for r in rows}
+    assert all(at[r.parent_pre].pre < r.pre < r.post < at[r.parent_pre].post for r in rows if r.parent_pre is not None)
+
+
+def test_array_labels_looked_up_per_record(spark, monkeypatch):
+    docs = [("1", '{"a": {"x": 1}, "b": {"y": {"z": 2}}}'), ("2", '{"a": [{"x": 1}], "b": {"y": [{"z": 2}, {"z": 3}]}}'), (None, '{"a": {"x": 5}}')]
+    df = spark.createDataFrame(docs, "k string, data string")
+    want = sorted((str(r.rec_key), r.path) for r in nested.node_table(df, "k", "data").collect())
+    monkeypatch.setattr(nested, "LABELS_AT_ONCE", 1)
+    assert sorted((str(r.rec_key), r.path) for r in nested.node_table(df, "k", "data").collect()) == want
+    assert ("1", "b.y[0]") in want and ("None", "a[0]") in want
