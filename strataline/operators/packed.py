@@ -32,6 +32,8 @@ _DELIM = re.compile("|".join(map(re.escape, DELIMITERS)))
 _WHOLE = re.compile(r"(?<![\d.])\d{1,3}(?:[,，]\d{3})+(?![\d])|(?<!\d)\d{4}([/.-])\d{1,2}\1\d{1,2}(?!\d)|(?<![\d./／])\d{1,3}[/／]\d{1,3}(?![\d./／])")
 _SPECIAL = re.compile("|".join([*map(re.escape, DELIMITERS), "[" + re.escape("".join([*QUOTES, *BRACKETS])) + "]"]))
 _BLANK = " \t\r\n　 "
+#: Kinds of delimiter that one dialect mixes.
+MIXED = 4
 #: Bits for spelling one character: of the Latin block, and any other.
 _NARROW_BITS, _WIDE_BITS = 6.0, 11.0
 #: Bits for saying that a value is quoted, for naming one delimiter, and for one that stands within a value.
@@ -133,17 +135,15 @@ def _delim_at(text: str, i: int, delims: frozenset[str]) -> str:
 def candidate_parses(cell: str) -> list[tuple[list[str], list[str], float]]:
     """(values, words to be coded, fixed bits) of every different parse the cell allows, the uncut one first.
 
-    With up to four kinds of delimiter all their subsets are dialects; with more, each one, each one left
-    out, and all.
+    A dialect splits at up to MIXED kinds of delimiter, or at all kinds met in the cell but at most one. So there
+    are polynomially many, whatever stands in the cell, and all subsets where it has up to MIXED + 1 kinds.
     """
     text = unwrap_cell(cell)
     if not text:
         return []
     met = sorted({m[0] for m in _DELIM.finditer(text)})
-    if len(met) <= 4:
-        sets = [frozenset(s) for k in range(len(met) + 1) for s in itertools.combinations(met, k)]
-    else:
-        sets = [frozenset(), *(frozenset([d]) for d in met), *(frozenset(met) - {d} for d in met), frozenset(met)]
+    sizes = sorted({*range(min(len(met), MIXED) + 1), max(0, len(met) - 1), len(met)})
+    sets = [frozenset(s) for k in sizes for s in itertools.combinations(met, k)]
     quotes = [True, False] if any(q in text for q in QUOTES) else [True]
     seen: set[tuple] = set()
     out = []

@@ -170,6 +170,17 @@ def test_packed_numbers_and_round_trip(spark):
     assert got[:80] == lists and got[80] == ["7.4", "6,820"] and got[81] == []
 
 
+def test_packed_cell_with_many_kinds_of_delimiter(spark):
+    rng = random.Random(5)
+    words = ["円礫", "木片", "貝殻片", "酸化鉄", "軽石粒", "粘土塊", "雲母片", "火山灰"]
+    noise = ["、".join(rng.sample(words, rng.randint(2, 4))) for _ in range(80)] + [rng.choice(["，", ";", "|", "・", "\n", "/", "+"]).join(rng.sample(words, 3)) for _ in range(140)]
+    seven = "円礫、木片;貝殻片|酸化鉄・軽石粒/粘土塊+雲母片，火山灰"
+    got = items(spark, noise + [seven])
+    assert got[-1] == ["円礫", "木片", "貝殻片", "酸化鉄", "軽石粒", "粘土塊", "雲母片", "火山灰"]
+    assert len(packed.candidate_parses("a;b|c・d/e+f，g、h")) == 1 + 7 + 21 + 35 + 35 + 7 + 1
+    assert len(packed.candidate_parses("、".join(["a"] * 3) + "".join(f"{d}a" for d in packed.DELIMITERS if d not in "+&"))) < 30_000
+
+
 def test_packed_empty(spark):
     df = spark.createDataFrame([], "id long, kind string, xml string, llm string")
     assert packed.unpack(df, "id", "kind", ["xml", "llm"]).count() == 0
