@@ -171,13 +171,18 @@ def spelling_bits(word: str) -> float:
     return sum(_NARROW_BITS if ch < "ɐ" else _WIDE_BITS for ch in word) + _INNER_BITS * len(_DELIM.findall(word))
 
 
-def split_cells(cells: DataFrame, kind: str, cell: str, salts: int = 16) -> DataFrame:
+#: Uses of a word from which it is looked up in several places at once.
+HOT_USES = 200_000
+
+
+def split_cells(cells: DataFrame, kind: str, cell: str) -> DataFrame:
     """(kind, cell, values array) of every distinct cell, parsed by its cheapest dialect.
 
     ``kind`` names the vocabulary a cell belongs to (such as its label): code lengths are learnt for each.
     Null or blank cells give no rows; a cell repeated in the input is described once. A word may be in any
-    share of all cells: words are counted before they are moved and looked up by (word, salt).
-    Equal lengths go to the parse with more values, then to the first in dialect order.
+    share of all cells: words are counted before they are moved, and those of more than HOT_USES are looked up by
+    (word, salt), with a salt for every HOT_USES. Equal lengths go to the parse with more values, then to the
+    first in dialect order.
     """
     distinct = cells.where(F.col(cell).isNotNull()).select(F.col(kind).cast("string").alias("__kind"), F.col(cell).cast("string").alias("__cell")).distinct()
 
@@ -201,11 +206,17 @@ def split_cells(cells: DataFrame, kind: str, cell: str, salts: int = 16) -> Data
         "__kind", "__id", "__parse", "__n", F.explode(F.arrays_zip(F.col("__words").alias("w"), F.col("__spelling").alias("s"))).alias("x")
     ).select("__kind", "__id", "__parse", "__n", F.col("x.w").alias("__word"), F.col("x.s").alias("__s"))
     # how often a word is used, each parse of a cell weighing alike
-    counts = words.groupBy("__kind", "__word").agg(F.sum(1.0 / F.col("__n")).alias("__c"))
+    counts = cut(words.groupBy("__kind", "__word").agg(F.sum(1.0 / F.col("__n")).alias("__c"), F.count("*").alias("__uses")))
     totals = counts.groupBy("__kind").agg(F.sum("__c").alias("__total"))
-    counts = counts.join(totals, "__kind")
-    counts = counts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    coded = words.where("__n > 1").withColumn("__salt", F.pmod(F.xxhash64("__id", "__parse"), F.lit(salts)).cast("int")).join(counts, ["__kind", "__word", "__salt"])
+    salts = F.ceil(F.col("__uses") / HOT_USES).cast("int")
+    hot = counts.where(F.col("__uses") > HOT_USES).select("__kind", "__word", salts.alias("__salts"))
+    counts = counts.join(totals, "__kind").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__uses")
+    coded = words.where("__n > 1")
+    if hot.isEmpty():
+        coded = coded.withColumn("__salt", F.lit(0))
+    else:
+        coded = coded.join(hot, ["__kind", "__word"], "left").withColumn("__salt", F.pmod(F.xxhash64("__id", "__parse"), F.coalesce("__salts", F.lit(1))).cast("int")).drop("__salts")
+    coded = coded.join(counts, ["__kind", "__word", "__salt"])
     bits = F.log2(F.col("__total") / F.col("__c")) + F.col("__s") / F.greatest(F.lit(1.0), F.col("__c"))
     length = coded.groupBy("__id", "__parse").agg(F.sum(bits).alias("__len"))
     best = (
@@ -221,5 +232,6 @@ def unpack(rows: DataFrame, key: str, kind: str, sides: list[str]) -> DataFrame:
     Rows of equal key are taken as they come; null keys are kept as null keys.
     """
     long = rows.select(F.col(key), F.col(kind).alias("kind"), F.explode(F.map_from_arrays(F.array(*map(F.lit, sides)), F.array(*[F.col(s).cast("string") for s in sides]))).alias("side", "cell")).where("cell is not null")
+    long = cut(long)  # read twice: for its distinct cells, and for its rows
     split = split_cells(long, "kind", "cell").where(F.size("values") >= 2)
     return long.join(split, ["kind", "cell"]).select(key, "side", F.posexplode("values").alias("__pos", "item")).select(key, "side", (F.col("__pos") + 1).cast("int").alias("pos"), "item")
