@@ -1,7 +1,7 @@
 """Records whose fields drift between batches: change report and one consistent typed table.
 
 Method: every record (one per file and batch) is read as a path-value map with raw JSON types. Statistics of path
-and type are taken per file from its map and summed up over the files of a batch inside each Arrow batch, so what
+and type are taken per file from its map and summed up over the files of a batch inside each task, so what
 is shuffled is schema-sized, not records; the maps themselves, several times the size of the JSON, are never
 written. The statistics give the change report and the target types; typed columns are then projected from the
 maps and values that do not fit are reported as failed casts.
@@ -69,8 +69,14 @@ def type_statistics(records: DataFrame, c: Drift = Drift(), values: bool = False
     by = (c.series, c.batch) if by is None else by
 
     def agg(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: dict[tuple, int] = {}
+
+        def counted() -> pa.RecordBatch:
+            cols = list(zip(*(key + (m,) for key, m in n.items()), strict=True)) or [[]] * len(names)
+            n.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, arrow, strict=True)], names=names)
+
         for b in batches:
-            n: dict[tuple, int] = {}
             *keys, data = (b.column(i).to_pylist() for i in range(len(by) + 1))
             for *at, d in zip(*keys, data, strict=True):
                 doc = jsonx.read_document(d)
@@ -94,8 +100,9 @@ def type_statistics(records: DataFrame, c: Drift = Drift(), values: bool = False
                         many, held = len(met) > 1, (any(v is not None for v in met),)
                     key = (*at, label, kind, numeric, many, *held)
                     n[key] = n.get(key, 0) + 1
-            cols = list(zip(*(key + (m,) for key, m in n.items()), strict=True)) or [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, arrow, strict=True)], names=names)
+            if len(n) >= 100_000:  # what is held stays small, whatever a task reads
+                yield counted()
+        yield counted()
 
     names = [*by, "label", "json_type", "is_numeric", "is_many", *["has_scalar"] * values, "n"]
     kinds = ["int" if k == c.batch else "string" for k in by]
@@ -244,13 +251,12 @@ def batchwise(results: DataFrame, c: Drift = Drift(), rows_at_once: int = 20_000
     r = results.select(*keys)
     large = cut(r.groupBy(c.series, c.batch).agg(F.count("*").alias("__n")).where(F.col("__n") > rows_at_once))
     n = large.count()
+    at = [c.series, c.batch]
     if n:  # at most one row in so many of the input; sent to all only where that is little
-        r = r.join(F.broadcast(large) if n <= 100_000 else large, [c.series, c.batch], "left")
-        salt = F.pmod(F.xxhash64(c.record), F.ceil(F.coalesce("__n", F.lit(1)) / rows_at_once))
-    else:
-        salt = F.lit(0)
-    together = r.select(*keys, salt.cast("int").alias("__salt")).repartition(c.series, c.batch, "__salt")
-    return first_delivery(together, [c.series, c.batch, "__salt", c.record], [c.delivered]).drop("__salt")
+        r = r.join(F.broadcast(large) if n <= 100_000 else large, at, "left")
+        salt = F.pmod(F.xxhash64(c.record), F.ceil(F.coalesce("__n", F.lit(1)) / rows_at_once)).cast("int")
+        r, at = r.select(*keys, salt.alias("__salt")), [*at, "__salt"]
+    return first_delivery(r.repartition(*at), [*at, c.record], [c.delivered]).drop("__salt")
 
 
 def change_report(results: DataFrame, examples: DataFrame) -> DataFrame:
