@@ -4,25 +4,32 @@ Method: one Aho-Corasick automaton over the normalised items, scanning every tex
 words are anchors: pieces of ``anchor`` characters taken every ``run - anchor + 1`` characters of an item,
 so any shared run of ``run`` characters holds at least one whole anchor. Each hit is widened to the left
 and right as far as text and item agree; runs long enough are leaks, mapped back to places in the original.
-The corpus is never shuffled and never gathered; only items, in blocks of bounded size, go to the workers.
+The corpus is read once, never shuffled and never gathered. Items go to the executors as broadcast blocks of
+bounded size (one, unless there are millions of characters of them); a worker builds an automaton once and keeps
+it, or, with several blocks, takes a large piece of the corpus through one after the other.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataline.session import cut
+
 #: A leak is a run of at least so many normalised characters.
 RUN = 40
 #: Length of the anchors; anchors start every RUN - ANCHOR + 1 characters.
 ANCHOR = 20
-#: Normalised characters of items that are sent to the workers at once (an automaton takes about 30 bytes for each).
+#: Normalised characters of items in one automaton (it takes about 30 bytes for each).
 BLOCK_CHARS = 4_000_000
+#: Characters of the corpus that a worker holds while it goes through several blocks of items.
+HELD_CHARS = 30_000_000
 
 _OTHER = re.compile(r"[\W_]+")
 
@@ -97,14 +104,31 @@ class Scanner:
         return out
 
 
-def _item_blocks(items: DataFrame, key: str, text: str, block_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """Items in blocks of about ``block_chars`` characters; the block of an item comes from its key's hash."""
-    slim = items.select(F.col(key).cast("bigint").alias("k"), F.col(text).cast("string").alias("t")).where("k is not null and t is not null")
+def _item_blocks(items: DataFrame, key: str, text: str, run: int, block_chars: int) -> Iterator[list[tuple[int, str]]]:
+    """Normalised items of at least ``run`` characters in blocks of about ``block_chars``; one block is on the driver at a time."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(k, n) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if len(n := normalise(t)) >= run]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["k", "t"])
+
+    slim = cut(items.select(F.col(key).cast("bigint").alias("k"), F.col(text).cast("string").alias("t")).where("k is not null and t is not null").mapInArrow(read, "k bigint, t string"))
     chars = slim.agg(F.sum(F.length("t"))).first()[0] or 0
     n = max(1, -(-chars // block_chars))
     for b in range(n):
-        rows = slim.where(F.pmod(F.xxhash64("k"), F.lit(n)) == b).collect() if n > 1 else slim.collect()
-        yield [(r["k"], normalise(r["t"])) for r in rows]
+        rows = slim.where(F.pmod(F.xxhash64("k", "t"), F.lit(n)) == b) if n > 1 else slim
+        yield [(r["k"], r["t"]) for r in rows.collect()]
+
+
+_BUILT: dict[str, Scanner] = {}
+
+
+def _kept(token: str, make) -> Scanner:
+    """The scanner of this token; a worker keeps the last one it built."""
+    if token not in _BUILT:
+        _BUILT.clear()
+        _BUILT[token] = make()
+    return _BUILT[token]
 
 
 def leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, run: int = RUN, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -119,26 +143,45 @@ def leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_k
     schema = "item_id bigint, doc_id bigint, doc_start int, doc_end int, item_start int, run_chars int"
     slim = docs.select(F.col(doc_key).cast("bigint"), F.col(doc_text).cast("string")).where(F.length(doc_text) >= 1)
 
-    def scan(block: list[tuple[int, str]]):
-        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            s = Scanner(block, run, min(ANCHOR, run))
-            for b in batches:
-                rows: list[tuple] = []
-                for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    got = s.runs(normalise(t))
-                    if got:
-                        to = offsets(t)
-                        rows += [(i, k, to and to[a], to and to[a + n - 1] + 1, at, n) for i, a, at, n in got]
-                cols = list(zip(*rows, strict=True)) or [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, arrow, strict=True)], names=names)
-
-        return each
-
-    out = None
-    for block in _item_blocks(items, item_key, item_text, block_chars):
-        part = slim.mapInArrow(scan(block), schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+    sc = docs.sparkSession.sparkContext
+    blocks = [sc.broadcast(b) for b in _item_blocks(items, item_key, item_text, run, block_chars)]
+    token = uuid.uuid4().hex
+
+    def found(texts: list[tuple[int, str]], s: Scanner) -> list[tuple]:
+        rows: list[tuple] = []
+        for k, t in texts:
+            got = s.runs(normalise(t))
+            if got:
+                to = offsets(t)
+                rows += [(i, k, to and to[a], to and to[a + n - 1] + 1, at, n) for i, a, at, n in got]
+        return rows
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True)) or [[]] * 6
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, arrow, strict=True)], names=names)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, str]] = []
+        size = 0
+        for b in batches:
+            texts = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+            if len(blocks) == 1:
+                yield batch(found(texts, _kept(token, lambda: Scanner(blocks[0].value, run, min(ANCHOR, run)))))
+                continue
+            held += texts
+            size += sum(len(t) for _, t in texts)
+            if size >= HELD_CHARS:
+                yield from through(held)
+                held, size = [], 0
+        yield from through(held)
+
+    def through(held: list[tuple[int, str]]) -> Iterator[pa.RecordBatch]:
+        for i, block in enumerate(blocks if held else []):
+            yield batch(found(held, _kept(f"{token} {i}", lambda block=block: Scanner(block.value, run, min(ANCHOR, run)))))
+            if len(blocks) > 1 and hasattr(block, "_value"):
+                del block._value  # read again from the executor's disk when needed
+
+    return slim.mapInArrow(scan, schema)
 
 
 def leaked_pairs(runs: DataFrame) -> DataFrame:

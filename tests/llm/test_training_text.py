@@ -75,6 +75,7 @@ def test_leaks_against_brute_force(spark):
     # blocks of items give the same
     again = leakage.leaks(D, "d", "t", I, "i", "t", block_chars=100)
     assert {(r.item_id, r.doc_id) for r in leakage.leaked_pairs(again).collect()} == got
+    assert again._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1  # one pass over the corpus, whatever the items
     text = dict(docs)
     for r in runs.collect():
         if r.doc_start is not None:
