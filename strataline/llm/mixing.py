@@ -3,14 +3,16 @@
 Method: Sainte-Lague apportionment. The total is cut into blocks of equal token size; blocks go to sources
 one by one to the highest quotient share / (2 k + 1), a source leaving once its text is used as often as it
 may. A source's blocks go in the same way to its shards by their tokens, which gives whole quotas per shard.
-In a shard documents stand in seeded order; whole passes and then the first blocks of that order are taken.
+In a shard, documents stand in a fixed order that is cut into blocks of that many tokens; whole passes over the
+shard are taken first, then single blocks drawn by seed until the quota is used up.
 
-The driver sees one row per source and shard (at most ``MAX_SHARDS`` a source), never documents.
+The driver sees one row per source and shard of SHARD_TOKENS tokens, never documents or blocks.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -20,9 +22,10 @@ from pyspark.sql import functions as F
 
 from strataline.session import cut
 
-MAX_SHARDS = 4096
 #: Tokens of a shard; a source of more is spread over more shards, so no sort holds a whole source.
-SHARD_TOKENS = 20_000_000
+SHARD_TOKENS = 200_000_000
+#: Rows of quotas up to which they are sent to all tasks.
+QUOTAS_AT_ONCE = 50_000
 DEFAULT_TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -78,9 +81,13 @@ def sainte_lague(shares: list[float], seats: int, caps: list[int]) -> list[int]:
         else:
             hi = mid
     got = won(hi * (1 + 1e-7))  # a little fewer; seats with equal quotients are given one by one
-    while sum(got) < seats:
-        i = max((i for i in range(n) if got[i] < caps[i] and shares[i] > 0), key=lambda i: (shares[i] / (2 * got[i] + 1), -i))
+    next_ = [(-shares[i] / (2 * got[i] + 1), i) for i in range(n) if got[i] < caps[i] and shares[i] > 0]
+    heapq.heapify(next_)
+    for _ in range(seats - sum(got)):
+        _, i = heapq.heappop(next_)
         got[i] += 1
+        if got[i] < caps[i]:
+            heapq.heappush(next_, (-shares[i] / (2 * got[i] + 1), i))
     return got
 
 
@@ -107,7 +114,7 @@ def plan(tokens: DataFrame, targets: DataFrame, total_tokens: int | None = None,
         {"source": s, "target_share": want[s][0], "max_repeats": want[s][1], "tokens": sizes.get(s, (0, 0))[0], "blocks": dict(zip(present, seats, strict=True)).get(s, 0)}
         for s in want
     ]
-    shards = {s: min(MAX_SHARDS, max(1, -(-sizes[s][0] // SHARD_TOKENS))) for s in present}
+    shards = {s: max(1, -(-sizes[s][0] // SHARD_TOKENS)) for s in present}
     rows = shard_of(have, shards).groupBy("source", "shard").agg(F.sum("n_tokens").alias("t")).collect() if present else []
     per: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r["source"], r["shard"])):
@@ -132,11 +139,12 @@ def shard_of(tokens: DataFrame, shards: dict[str, int]) -> DataFrame:
 def mix(tokens: DataFrame, targets: DataFrame, seed: int = 17, total_tokens: int | None = None, block_tokens: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(chosen documents with repeats, report per source).
 
-    chosen: (doc_id, source, n_tokens, repeats), repeats >= 1 and at most the source's max_repeats rounded up.
-    A source's tokens are used at most max_repeats times: the last pass takes only documents that end within
-    the quota, so a source can fall short by part of a document per shard. Documents with a null source, a
-    source without target, or no tokens are not chosen; a source without text is reported with nothing
-    chosen. The same seed gives the same choice whatever the partitioning.
+    chosen: (doc_id, source, n_tokens, block, repeats), repeats >= 1 and at most the source's max_repeats rounded up.
+    A document belongs to the block of its shard that its last token falls in. A source's tokens are used at most
+    max_repeats times: blocks are drawn in seeded order as long as they fit what is left of the quota, so a source
+    can fall short by part of a block per shard. Documents with a null source, a source without target, or no
+    tokens are not chosen; a source without text is reported with nothing chosen. The same seed gives the same
+    choice whatever the partitioning.
     """
     spark: SparkSession = tokens.sparkSession
     tokens = cut(tokens)
@@ -144,16 +152,20 @@ def mix(tokens: DataFrame, targets: DataFrame, seed: int = 17, total_tokens: int
     schema = "source string, shard int, shard_tokens bigint, quota bigint, n_shards int, max_repeats double"
     quotas = spark.createDataFrame([tuple(r.values()) for r in by_shard], schema)
     shards = {r["source"]: r["n_shards"] for r in by_shard}
-    # a quota row per source and shard: at most MAX_SHARDS a source
-    docs = shard_of(tokens.where("n_tokens > 0 and source is not null"), shards).join(F.broadcast(quotas), ["source", "shard"])
-    order = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
-    end = F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    docs = shard_of(tokens.where("n_tokens > 0 and source is not null"), shards).join(F.broadcast(quotas) if len(by_shard) <= QUOTAS_AT_ONCE else quotas, ["source", "shard"])
+    at = Window.partitionBy("source", "shard")
+    up_to = (Window.unboundedPreceding, Window.currentRow)
     budget = F.col("quota") * F.lit(block)
     passes = F.floor(budget / F.col("shard_tokens"))
+    end = F.sum("n_tokens").over(at.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(*up_to))
+    docs = docs.withColumn("block", F.floor((end - 1) / F.lit(block))).withColumn("__passes", passes)
+    blocks = docs.groupBy("source", "shard", "block").agg(F.sum("n_tokens").alias("__size"), F.max(budget - passes * F.col("shard_tokens")).alias("__left"))
+    drawn = F.sum("__size").over(at.orderBy(F.xxhash64("source", "shard", "block", F.lit(seed)), "block").rowsBetween(*up_to)) <= F.col("__left")
+    blocks = blocks.select("source", "shard", "block", drawn.cast("bigint").alias("__drawn"))
     chosen = (
-        docs.withColumn("__end", end)
-        .withColumn("repeats", (passes + (F.col("__end") <= budget - passes * F.col("shard_tokens")).cast("bigint")).cast("int"))
-        .where("repeats > 0").select("doc_id", "source", "n_tokens", "repeats")
+        docs.join(blocks, ["source", "shard", "block"])
+        .select("doc_id", "source", "n_tokens", "block", (F.col("__passes") + F.col("__drawn")).cast("int").alias("repeats"))
+        .where("repeats > 0")
     )
     used = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("used_tokens"), F.sum("repeats").alias("documents_out"))
     plan_rows = spark.createDataFrame([tuple(r.values()) for r in by_source], "source string, target_share double, max_repeats double, source_tokens bigint, blocks bigint")

@@ -178,6 +178,30 @@ def test_mix(spark):
     assert mixing.mix(tokens.limit(0), targets)[0].count() == 0
 
 
+def test_blocks_are_drawn_to_the_quotas(spark):
+    rng = random.Random(6)
+    rows = [(i, "a" if i % 3 else "b", rng.randint(5, 40)) for i in range(3000)] + [(9000, "b", 2_000)]
+    tokens = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("a", 0.4, 1.0), ("b", 0.6, 3.0)], "source string, target_share double, max_repeats double")
+    size = {s: sum(r[2] for r in rows if r[1] == s) for s in "ab"}
+    picks = {}
+    for seed in (1, 2):
+        chosen, report = mixing.mix(tokens, targets, seed=seed, block_tokens=100)
+        got, told = chosen.collect(), {r.source: r for r in report.collect()}
+        for s in "ab":
+            blocks = {}
+            for r in got:
+                if r.source == s:
+                    blocks.setdefault(r.block, set()).add(r.repeats)
+            assert all(len(x) == 1 for x in blocks.values())  # a block is taken as a whole
+            used = sum(r.n_tokens * r.repeats for r in got if r.source == s)
+            quota = told[s].blocks * 100
+            assert used == told[s].used_tokens <= quota <= size[s] * targets.where(f"source = '{s}'").first().max_repeats
+            assert used >= quota - 100 - 2_000 * (s == "b")
+        picks[seed] = {(r.doc_id, r.repeats) for r in got}
+    assert picks[1] != picks[2]
+
+
 def test_token_counts(spark):
     df = spark.createDataFrame([(1, "s", "hello world"), (2, "s", None), (3, None, " "), (4, "s", "漢字" * 1000)], "doc_id long, source string, text string")
     n = {r.doc_id: r.n_tokens for r in mixing.count_tokens(df, "doc_id", "source", "text").collect()}
