@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from strataline.llm import glyphs, leakage, linkage, mixing, quality
+from strataline.llm.oracle_sql import ORACLE_SQL  # noqa: F401 - read by the entry
 from strataline.operators.dedupe import first_delivery
 from strataline.sources.tables import table
 
@@ -71,4 +72,4 @@ QUERIES = {
     "p7_mix": p7_mix, "p7_shares": p7_shares,
     "p8_found": p8_found, "p8_statistics": p8_statistics,
 }
-ORACLE_SQL: dict[str, str] = {}
+
