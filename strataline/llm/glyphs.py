@@ -101,18 +101,26 @@ def form_sql(x: str, met: set[str] | None = None) -> str:
 
     ``translate`` builds its table anew for every text, so a batch brings the characters it has.
     """
-    one, _, hidden = glyph_tables()
+    one, many, hidden = glyph_tables()
     if met is not None:
+        many = {k: v for k, v in many.items() if k in met}
+        met = met.union("".join(many.values()))
         one = {k: v for k, v in one.items() if k in met}
         hidden = "".join(ch for ch in hidden if ch in met)
     form = x
     if hidden:
         form = f"regexp_replace({form}, '[{_ranges(hidden)}]', '', 'g')"
+    for ch, to in many.items():
+        form = f"replace({form}, {_quote(ch)}, {_quote(to)})"
     if one:
         form = f"translate({form}, {_quote(''.join(one))}, {_quote(''.join(one.values()))})"
-    if not one and not hidden:
+    if form == x:
         return f"nfc_normalize({x})"
-    return f"nfc_normalize(CASE WHEN regexp_matches({x}, '[{_ranges(hidden + ''.join(one))}]') THEN {form} ELSE {x} END)"
+    return f"nfc_normalize(CASE WHEN regexp_matches({x}, '[{_ranges(hidden + ''.join(one) + ''.join(many))}]') THEN {form} ELSE {x} END)"
+
+
+#: Characters of a batch that the database rewrites at once.
+HELD_CHARS = 4_000_000
 
 
 _CONNECTION = None
@@ -124,7 +132,7 @@ def _connection():
     if _CONNECTION is None:
         import duckdb
 
-        _CONNECTION = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "256MB"})
+        _CONNECTION = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "256MB", "temp_directory": ""})
     return _CONNECTION
 
 
@@ -139,28 +147,30 @@ def one_form(df: DataFrame, columns: list[str], suffix: str = "_form") -> DataFr
     if clash := set(added) & set(df.columns):
         raise ValueError(f"columns exist already: {sorted(clash)}")
     schema = ", ".join([fields, *(f"`{a}` string" for a in added)])
-    _, many, _ = glyph_tables()
 
-    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def formed(lists: list[list[str | None]]) -> list[pa.Array]:
         con = _connection()
+        met: set[str] = set()
+        for texts in lists:
+            for v in texts:
+                if v is not None:
+                    met.update(v)
+        con.register("texts", pa.table([pa.array(v, pa.string()) for v in lists], names=[f"v{i}" for i in range(len(lists))]))
+        select = ", ".join(f"{form_sql(f'v{i}', met)} AS f{i}" for i in range(len(lists)))
+        got = con.sql(f"SELECT {select} FROM texts").to_arrow_table()  # one thread, no sort: rows stay in order
+        con.unregister("texts")
+        return [pa.concat_arrays([pa.array([], pa.string()), *(x.cast(pa.string()) for x in got.column(i).chunks)]) for i in range(len(lists))]
+
+    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = [b.column(b.schema.get_field_index(c)).to_pylist() for c in columns]
-            met: set[str] = set()
-            for texts in lists:
-                for v in texts:
-                    if v is not None:
-                        met.update(v)
-            if rare := met & many.keys():
-                # the few texts with a character that stands for several have it written out before the SQL runs
-                lists = [[v if v is None or rare.isdisjoint(v) else "".join(many.get(ch, ch) for ch in v) for v in texts] for texts in lists]
-                met.update("".join(many[ch] for ch in rare))
-            texts = pa.table([pa.array(range(len(b)), pa.int64()), *(pa.array(v, pa.string()) for v in lists)], names=["row_at", *(f"v{i}" for i in range(len(columns)))])
-            con.register("texts", texts)
-            select = ", ".join(f"{form_sql(f'v{i}', met)} AS f{i}" for i in range(len(columns)))
-            got = con.sql(f"SELECT {select} FROM texts ORDER BY row_at").to_arrow_table()
-            con.unregister("texts")
-            cols = [pa.concat_arrays([x.cast(pa.string()) for x in got.column(i).chunks]) if got.num_rows else pa.array([], pa.string()) for i in range(len(columns))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, *added])
+            start = size = 0
+            for end in range(1, len(b) + 1):
+                size += sum(len(v[end - 1] or "") for v in lists)
+                if size >= HELD_CHARS or end == len(b):
+                    cols = formed([v[start:end] for v in lists])
+                    yield pa.RecordBatch.from_arrays([*b.slice(start, end - start).columns, *cols], names=[*b.schema.names, *added])
+                    start, size = end, 0
 
     return df.mapInArrow(rewrite, schema)
 

@@ -44,6 +44,21 @@ def test_one_form_random(spark):
         assert r.t_form == reference_form(r.t)
 
 
+# Pairs by eye, independent of the tables of the package.
+BY_EYE = {
+    "Ｎｏ．４": "No.4", "㎝": "cm", "㍍": "メートル", "ﬁne": "fine", "ｶﾞｽ": "ガス", "Сhеck": "Check", "ΑΒΕ": "ABE", "x​y": "xy", "a\u00a0b": "a b", "e\u0301": "é", "－": "-", "〜": "~", "２５％": "25%",
+    "": "", "​": "", "plain text": "plain text", "①": "①", "m²": "m²", "砂　礫": "砂 礫", "Ⅲ": "III",
+}
+
+
+def test_forms_by_eye(spark, monkeypatch):
+    df = spark.createDataFrame(list(BY_EYE.items()), "t string, want string")
+    got = glyphs.one_form(df, ["t"]).collect()
+    assert {r.t: r.t_form for r in got} == BY_EYE
+    monkeypatch.setattr(glyphs, "HELD_CHARS", 3)  # batches of long texts are rewritten in pieces
+    assert {r.t: r.t_form for r in glyphs.one_form(df.coalesce(1), ["t"]).collect()} == BY_EYE
+
+
 # --- leaks --------------------------------------------------------------------------------------------------
 
 
