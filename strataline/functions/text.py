@@ -49,12 +49,14 @@ def nfkc(x: Column) -> Column:
 
 def normal(x: Column, ascii_only: bool = False) -> Column:
     """Normal form: NFKC, one hyphen, no angle marks, colon as hyphen, no blanks or brackets, runs of list marks as one comma."""
+    raw = x
     if not ascii_only:
         x = nfkc(x)
     x = F.translate(x, HYPHENS + ":", "-" * (len(HYPHENS) + 1))
     x = F.translate(x, ANGLE_MARKS + BRACKETS, "")
     x = F.regexp_replace(x, SPACE, "")
-    return F.regexp_replace(x, f"[{LIST_MARKS}]+", ",")
+    x = F.regexp_replace(x, f"[{LIST_MARKS}]+", ",")
+    return F.when(raw.rlike(r"[^0-9A-Za-z_./+*%-]"), x).otherwise(raw)  # most texts have nothing to level
 
 
 def as_float(x: Column) -> Column:

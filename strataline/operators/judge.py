@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataline.functions import paths, text
-from strataline.operators.align import greedy_pairs, overlap_scores
+from strataline.operators.align import greedy_alignment
 
 
 def with_norm(leaves: DataFrame, ascii_only: bool = False) -> DataFrame:
@@ -31,10 +31,13 @@ def status_of(truth_norm: Column, pred_norm: Column) -> tuple[Column, Column]:
 
 def alignment(truth: DataFrame, pred: DataFrame, run: list[str]) -> DataFrame:
     """(run, doc, truth_idx, pred_idx) of the documents both sides have. truth has no run columns."""
-    lines = pred.where("idx is not null")
-    per_run = truth.where("idx is not null").join(lines.select(*run, "doc").distinct(), "doc")
-    # the document number leads the keys: sorts compare it by its prefix, texts only on ties
-    return greedy_pairs(overlap_scores(per_run, lines, ["doc", *run]), ["doc", *run])
+    return greedy_alignment(truth, pred, ["doc"], run)
+
+
+def positional(truth: DataFrame, pred: DataFrame, run: list[str]) -> DataFrame:
+    """(run, doc, idx, rel, xml, llm_value): every truth leaf of an element with the prediction at the same place, null where there is none."""
+    t = truth.where("idx is not null").select("doc", "idx", "rel", F.col("value").alias("xml"))
+    return t.join(pred.select(*run, "doc", "idx", "rel", F.col("value").alias("llm_value")), ["doc", "idx", "rel"], "left").select(*run, "doc", "idx", "rel", "xml", "llm_value")
 
 
 def truth_pass(truth: DataFrame, pred: DataFrame, pairs: DataFrame, run: list[str]) -> DataFrame:

@@ -1,6 +1,6 @@
 """Layout of recognised text: vertical words, rows by position, rendering, overlaps, tables.
 
-All sequences are ordered inside their page; folds run in the JVM over one page's array.
+All sequences are ordered inside their page; rows and lines are built by folds that stream a page in order.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataline.functions.text import display_width
+from strataline.operators.folds import fold
 
 #: Characters per point: 120 columns over a page of 595 points.
 COLUMN_SCALE = 120.0 / 595.0
@@ -35,33 +36,56 @@ def vertical_words(words: DataFrame, page: list[str], x_tolerance: float = 3.0,
     return rest.unionByName(joined)
 
 
-def position_lines(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, pos, header, x, y, text) of '[x=..,y=..] ...' lines; page headers are carried forward, other lines dropped."""
+# How a position line and the head of a page are written.
+POSITION_LINE = r"^\[x=(\d+),y=(\d+)\]\s(.*)"
+PAGE_HEAD = "=== Page"
+
+
+def position_text(words: DataFrame, doc: list[str]) -> DataFrame:
+    """(doc..., text): words as position lines under page heads, from (doc..., page, seq, text, x0, top).
+
+    Words of a page stand by top, then x0, then seq; coordinates are rounded half-even to whole points. Pages are
+    numbered by ``page``; every page of the input has its head, and lines of a document are joined by line breaks.
+    """
+    at = lambda c: F.bround(F.col(c), 0).cast("bigint").cast("string")
+    line = F.concat(F.lit("[x="), at("x0"), F.lit(",y="), at("top"), F.lit("] "), F.col("text"))
+    heads = words.select(*doc, "page").distinct().select(*doc, "page", F.lit(0).alias("k"), F.lit(0.0).alias("top"), F.lit(0.0).alias("x0"), F.lit(0).cast("bigint").alias("seq"), F.concat(F.lit(f"{PAGE_HEAD} "), F.col("page").cast("string"), F.lit(" ===")).alias("line"))
+    rows = words.where("text is not null").select(*doc, "page", F.lit(1).alias("k"), F.col("top").cast("double"), F.col("x0").cast("double"), F.col("seq").cast("bigint"), line.alias("line"))
+    return fold(heads.unionByName(rows), doc, ["page", "k", "top", "x0", "seq"], "text string", lambda _: [], lambda s, r: s.append(r[-1]) or [], lambda s: [("\n".join(s),)])
+
+
+def _positioned(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, pos, page, header, x, y, text) of position lines; ``page`` counts the heads above a line."""
     lines = texts.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    head = F.when(F.col("line").startswith("=== Page"), F.col("line"))
+    is_head = F.col("line").startswith(PAGE_HEAD)
     w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    pattern = r"^\[x=(\d+),y=(\d+)\]\s(.*)"
-    return (
-        lines.withColumn("header", F.coalesce(F.last(head, ignorenulls=True).over(w), F.lit(""))).where(F.col("line").rlike(pattern))
-        .select(key, "pos", "header", *[F.regexp_extract("line", pattern, i).cast("double").alias(n) for i, n in ((1, "x"), (2, "y"))], F.regexp_extract("line", pattern, 3).alias("text"))
+    lines = lines.withColumn("header", F.coalesce(F.last(F.when(is_head, F.col("line")), ignorenulls=True).over(w), F.lit(""))).withColumn("page", F.count_if(is_head).over(w))
+    return lines.where(F.col("line").rlike(POSITION_LINE)).select(
+        key, "pos", "page", "header", *[F.regexp_extract("line", POSITION_LINE, i).cast("double").alias(n) for i, n in ((1, "x"), (2, "y"))], F.regexp_extract("line", POSITION_LINE, 3).alias("text")
     )
 
 
+def position_lines(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, pos, header, x, y, text) of '[x=..,y=..] ...' lines; page headers are carried forward, other lines dropped."""
+    return _positioned(texts, key, text).drop("page")
+
+
 def row_breaks(entries: DataFrame, page: list[str], height: float = 8.0) -> DataFrame:
     """(page..., seq, row_no): a new row begins more than ``height`` under the first entry of the row.
 
     entries: (page..., seq, x, y). Order is y, x, seq.
     """
-    g = entries.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct("y", "x", "seq"))).alias("e"))
-    start = F.struct(F.col("e")[0]["y"].alias("anchor"), F.lit(0).alias("row"), F.expr("cast(array() as array<struct<seq:bigint,row_no:int>>)").alias("out"))
-
-    def add(s, e):
-        far = e["y"] - s["anchor"] > height
-        row = s["row"] + far.cast("int")
-        one = F.array(F.struct(e["seq"].cast("bigint").alias("seq"), row.alias("row_no")))
-        return F.struct(F.when(far, e["y"]).otherwise(s["anchor"]).alias("anchor"), row.alias("row"), F.concat(s["out"], one).alias("out"))
+    def step(state: dict, row: tuple) -> list[tuple]:
+        y, _, seq = row
+        if state["anchor"] is None:
+            state["anchor"] = y
+        elif y - state["anchor"] > height:
+            state["anchor"] = y
+            state["row"] += 1
+        return [(seq, state["row"])]
 
-    return g.select(*page, F.inline(F.aggregate("e", start, add, lambda s: s["out"])))
+    rows = entries.select(*page, F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"), F.col("seq").cast("bigint").alias("seq")).where("y is not null")
+    return fold(rows, page, ["y", "x", "seq"], "seq bigint, row_no int", lambda _: {"anchor": None, "row": 0}, step)
 
 
 def render_rows(entries: DataFrame, row: list[str], width: Column) -> DataFrame:
@@ -69,49 +93,66 @@ def render_rows(entries: DataFrame, row: list[str], width: Column) -> DataFrame:
 
     entries: (row..., seq, x, text). Order is x, seq.
     """
-    g = entries.withColumn("__w", width).groupBy(*row).agg(F.array_sort(F.collect_list(F.struct("x", "seq", "text", F.col("__w").alias("w")))).alias("e"))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("line"))
+    def step(state: dict, r: tuple) -> list[tuple]:
+        x, _, text, w = r
+        target = int(x * COLUMN_SCALE)
+        state["line"].append(" " * max(target - state["at"], 0) + text)
+        state["at"] = max(target, state["at"]) + w
+        return []
 
-    def put(s, e):
-        target = (e["x"] * F.lit(COLUMN_SCALE)).cast("int")
-        pad = F.repeat(F.lit(" "), F.greatest(target - s["at"], F.lit(0)))
-        return F.struct((F.greatest(target, s["at"]) + e["w"]).cast("int").alias("at"), F.concat(s["line"], pad, e["text"]).alias("line"))
-
-    return g.select(*row, F.aggregate("e", start, put, lambda s: s["line"]).alias("line"))
+    rows = entries.select(*row, F.col("x").cast("double").alias("x"), "seq", "text", width.cast("int").alias("__w")).where("x is not null and text is not null")
+    return fold(rows, row, ["x", "seq"], "line string", lambda _: {"at": 0, "line": []}, step, lambda s: [("".join(s["line"]),)])
 
 
 def spatial_text(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, spatial): position text as pages of rows; texts without a position line give no row."""
-    lines = position_lines(texts, key, text).withColumn("seq", F.col("pos").cast("bigint"))
-    w = Window.partitionBy(key).orderBy("pos")
-    changed = (F.col("header") != F.lag("header").over(w)).cast("int")
-    lines = lines.withColumn("page", F.sum(F.coalesce(changed, F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    """(key, spatial): position text as pages of rows; texts, and pages, without a position line give nothing."""
+    lines = _positioned(texts, key, text).withColumn("seq", F.col("pos").cast("bigint"))
     placed = lines.join(row_breaks(lines, [key, "page"]), [key, "page", "seq"])
     rows = render_rows(placed, [key, "page", "header", "row_no"], display_width(F.col("text")))
-    pages = rows.groupBy(key, "page", "header").agg(F.array_sort(F.collect_list(F.struct("row_no", "line"))).alias("r"))
-    pages = pages.withColumn("body", F.concat_ws("\n", F.col("header"), F.array_join(F.transform("r", lambda x: x["line"]), "\n")))
-    return pages.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("page", "body"))).alias("p")).select(key, F.array_join(F.transform("p", lambda x: x["body"]), "\n").alias("spatial"))
 
+    def step(state: dict, r: tuple) -> list[tuple]:
+        page, header, _, line = r
+        if page != state["page"]:
+            state["page"] = page
+            if header:
+                state["out"].append(header)
+        state["out"].append(line)
+        return []
+
+    ordered = rows.select(key, "page", "header", "row_no", "line")
+    return fold(ordered, [key], ["page", "row_no"], "spatial string", lambda _: {"page": None, "out": []}, step, lambda s: [("\n".join(s["out"]),)])
 
-def overlapping_pages(chars: DataFrame, page: list[str], cell: float) -> DataFrame:
+
+def overlapping_pages(chars: DataFrame, page: list[str], failed: DataFrame | None = None) -> DataFrame:
     """(page..., has_overlap): do characters of different lines overlap?
 
     chars: (page..., ch, x0, y0, x1, y1, block, line). Blank characters and boxes thinner than 0.1 are left
-    out, as are exact doubles. Boxes are laid on a grid of ``cell`` (at least the largest box), so only
-    neighbours meet; every page of the input has a row.
+    out, as are exact doubles. Boxes stream from the top; held are those that reach down to the present one, and a
+    page is settled at its first overlap. Every page of the input has a row; pages of ``failed`` (page...), which
+    could not be read, count as overlapping.
     """
-    ok = chars.where((F.trim("ch") != "") & (F.col("x1") - F.col("x0") > 0.1) & (F.col("y1") - F.col("y0") > 0.1)).withColumn("id", F.monotonically_increasing_id())
-    grid = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))
-    ok = ok.withColumn("cx", F.explode(grid("x0", "x1"))).withColumn("cy", F.explode(grid("y0", "y1")))
-    b = ok.select(*page, "cx", "cy", *[F.col(c).alias(f"b_{c}") for c in ("id", "ch", "x0", "y0", "x1", "y1", "block", "line")])
-    d = lambda c: F.abs(F.col(c) - F.col(f"b_{c}"))
-    double = (F.col("ch") == F.col("b_ch")) & (d("x0") + d("x1") < 0.5) & (d("y0") + d("y1") < 0.5)
-    meets = (
-        (F.col("id") != F.col("b_id")) & ~((F.col("block") == F.col("b_block")) & (F.col("line") == F.col("b_line")))
-        & (F.least("x1", "b_x1") > F.greatest("x0", "b_x0")) & (F.least("y1", "b_y1") > F.greatest("y0", "b_y0")) & ~double
-    )
-    hit = ok.join(b, [*page, "cx", "cy"]).where(meets).select(*page).distinct().withColumn("__hit", F.lit(True))
-    return chars.select(*page).distinct().join(hit, page, "left").select(*page, F.coalesce("__hit", F.lit(False)).alias("has_overlap"))
+    def step(state: dict, row: tuple) -> list[tuple]:
+        y0, x0, x1, y1, ch, block, line = row
+        if state["hit"] or not ch or not ch.strip() or x1 is None or y1 is None or x1 - x0 <= 0.1 or y1 - y0 <= 0.1:
+            return []
+        open_ = [o for o in state["open"] if o[3] > y0]
+        for oy0, ox0, ox1, oy1, och, oblock, oline in open_:
+            if min(x1, ox1) <= max(x0, ox0) or (block == oblock and line == oline):
+                continue
+            if ch == och and abs(x0 - ox0) + abs(x1 - ox1) < 0.5 and abs(y0 - oy0) + abs(y1 - oy1) < 0.5:
+                continue
+            state["hit"] = True
+            return []
+        open_.append(row)
+        state["open"] = open_
+        return []
+
+    rows = chars.select(*page, "y0", "x0", "x1", "y1", "ch", "block", "line").where("y0 is not null and x0 is not null")
+    found = fold(rows, page, ["y0", "x0"], "has_overlap boolean", lambda _: {"open": [], "hit": False}, step, lambda s: [(s["hit"],)])
+    found = found.unionByName(chars.select(*page, F.lit(False).alias("has_overlap")))
+    if failed is not None:
+        found = found.unionByName(failed.select(*page, F.lit(True).alias("has_overlap")))
+    return found.groupBy(*page).agg(F.max("has_overlap").alias("has_overlap"))
 
 
 def outside_tables(blocks: DataFrame, tables: DataFrame, page: list[str], slack: float = 1.0) -> DataFrame:

@@ -55,17 +55,26 @@ def failed_patterns(details: DataFrame, run: list[str], drop: float = 0.2, limit
     return bad.select(*run, "section", "rank", F.col("doc").alias("file"), "field", "error_type", clean_cell(F.col("xml")).alias("xml"), clean_cell(F.col("llm_value")).alias("llm_value"))
 
 
-def error_breakdown(details: DataFrame) -> DataFrame:
-    """Error kinds per (llm, parse_type), and per llm under the name 全体."""
+def error_breakdown(details: DataFrame, runs: DataFrame | None = None, known: list[str] | None = None) -> DataFrame:
+    """Error kinds per (llm, parse_type), and per llm under the name 全体.
+
+    ``runs``: (llm, parse_type) of all runs; one without errors, or without any details, has a row of zeros. With
+    ``known`` other llms are left out, and ``llm_rank`` is the place of the llm in that list.
+    """
     kinds = ("false_positive", "partial_match", "wrong_value")
-    g = details.where("status = 'incorrect'").groupingSets([["llm", "parse_type"], ["llm"]], "llm", "parse_type").agg(
-        F.grouping("parse_type").alias("g"), *[F.count_if(F.col("error_type") == k).alias(k) for k in kinds]
-    )
+    wrong = F.col("status") == "incorrect"
+    per_run = details.groupBy("llm", "parse_type").agg(*[F.count_if(wrong & (F.col("error_type") == k)).alias(k) for k in kinds])
+    if runs is not None:
+        per_run = runs.select("llm", "parse_type").distinct().join(per_run, ["llm", "parse_type"], "left").na.fill(0, list(kinds))
+    if known is not None:
+        per_run = per_run.where(F.col("llm").isin(known))
+    g = per_run.groupingSets([["llm", "parse_type"], ["llm"]], "llm", "parse_type").agg(F.grouping("parse_type").alias("g"), *[F.sum(k).alias(k) for k in kinds])
     total = sum(F.col(k) for k in kinds)
     both = F.col("partial_match") + F.col("wrong_value")
+    rank = [] if known is None else [F.array_position(F.array(*map(F.lit, known)), F.col("llm")).alias("llm_rank")]
     return g.select(
         "llm", F.when(F.col("g") == 1, "全体").otherwise(F.col("parse_type")).alias("parse_type"), total.alias("total_incorrect"),
         F.col("false_positive").alias("false_positive_count"), both.alias("partial+wrong count"), F.col("partial_match").alias("partial_match_count"), F.col("wrong_value").alias("wrong_value_count"),
         ratio(F.col("false_positive"), total).alias("false_positive_ratio"), ratio(both, total).alias("partial+wrong ratio"),
-        ratio(F.col("partial_match"), total).alias("partial_match_ratio"), ratio(F.col("wrong_value"), total).alias("wrong_value_ratio"),
+        ratio(F.col("partial_match"), total).alias("partial_match_ratio"), ratio(F.col("wrong_value"), total).alias("wrong_value_ratio"), *rank,
     )

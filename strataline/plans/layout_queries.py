@@ -93,12 +93,16 @@ def row_render(spark: SparkSession, sf: str) -> DataFrame:
     return layout.render_rows(e.join(layout.row_breaks(e, ["page"]), ["page", "seq"]), ["page", "row_no"], F.length("text"))
 
 
-@query(r"""with l as (
+#: The pattern of a position line, as the operator has it.
+_AT = layout.POSITION_LINE
+
+
+@query(rf"""with l as (
   select doc_id, string_split(text, chr(10)) as ls from documents where text is not null),
 p as (select doc_id, unnest(ls) as line, unnest(range(len(ls))) as pos from l),
-h as (select *, coalesce(last_value(case when starts_with(line, '=== Page') then line end ignore nulls) over (partition by doc_id order by pos rows unbounded preceding), '') as header from p)
-select doc_id, cast(pos as int) as pos, header, cast(regexp_extract(line, '^\[x=(\d+),y=(\d+)\]\s(.*)', 1) as double) as x, cast(regexp_extract(line, '^\[x=(\d+),y=(\d+)\]\s(.*)', 2) as double) as y,
-  regexp_extract(line, '^\[x=(\d+),y=(\d+)\]\s(.*)', 3) as text from h where regexp_matches(line, '^\[x=(\d+),y=(\d+)\]\s(.*)')""")
+h as (select *, coalesce(last_value(case when starts_with(line, '{layout.PAGE_HEAD}') then line end ignore nulls) over (partition by doc_id order by pos rows unbounded preceding), '') as header from p)
+select doc_id, cast(pos as int) as pos, header, cast(regexp_extract(line, '{_AT}', 1) as double) as x, cast(regexp_extract(line, '{_AT}', 2) as double) as y,
+  regexp_extract(line, '{_AT}', 3) as text from h where regexp_matches(line, '{_AT}')""")
 def position_lines(spark: SparkSession, sf: str) -> DataFrame:
     return layout.position_lines(table(spark, sf, "documents"), "doc_id", "text")
 
@@ -108,6 +112,17 @@ def spatial_text(spark: SparkSession, sf: str) -> DataFrame:
     return layout.spatial_text(table(spark, sf, "documents"), "doc_id", "text")
 
 
+@query(f"""with {_WORDS_SQL},
+p as (select page % 7 as doc, page // 7 + 1 as page, seq, text, x0 + 0.5 as x0, top + 0.5 as top from w where text is not null),
+l as (
+  select doc, page, 1 as k, top, x0, seq, '[x=' || cast(round_even(x0, 0) as bigint) || ',y=' || cast(round_even(top, 0) as bigint) || '] ' || text as line from p
+  union all select distinct doc, page, 0, 0, 0, 0, '=== Page ' || page || ' ===' from p)
+select doc, string_agg(line, chr(10) order by page, k, top, x0, seq) as text from l group by doc""")
+def position_text(spark: SparkSession, sf: str) -> DataFrame:
+    w = _words(spark, sf).select(F.expr("page % 7").alias("doc"), F.expr("page div 7 + 1").alias("page"), "seq", "text", (F.col("x0") + 0.5).alias("x0"), (F.col("top") + 0.5).alias("top"))
+    return layout.position_text(w, ["doc"])
+
+
 # --- character boxes, blocks, tables ----------------------------------------------------------------------
 
 _CHARS_SQL = """chars as (
@@ -123,7 +138,7 @@ def _overlaps(spark: SparkSession, sf: str) -> DataFrame:
     l = table(spark, sf, "lineitem")
     x, y = F.col("l_quantity") * 10, F.col("l_linenumber") * 5.0
     chars = l.select(F.col("l_orderkey").alias("page"), F.col("l_returnflag").alias("ch"), x.alias("x0"), y.alias("y0"), (x + 8).alias("x1"), (y + 6).alias("y1"), F.col("l_linestatus").alias("block"), F.col("l_linenumber").alias("line"))
-    return layout.overlapping_pages(chars, ["page"], 16.0)
+    return layout.overlapping_pages(chars, ["page"])
 
 
 @query(f"with {_CHARS_SQL} select * from ov")

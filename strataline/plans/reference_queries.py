@@ -37,14 +37,15 @@ def _labels(pred: DataFrame) -> DataFrame:
     return pred.select(paths.strip_indices(judge.field_path(F.col("idx"), F.col("rel"))).alias("label")).distinct()
 
 
-def _details(spark: SparkSession, sf: str) -> DataFrame:
+def _judged(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(details, files), both from the leaf tables written once."""
     truth, pred = _bound(spark, sf)
-    return judge.details(truth, pred, B.RUN, _labels(pred))
+    files = pred.select(*B.RUN, "doc").distinct().withColumn("retry_count", (F.col("doc") % 3).cast("int"))
+    return judge.details(truth, pred, B.RUN, _labels(pred)), files
 
 
-def _files(spark: SparkSession, sf: str) -> DataFrame:
-    _, pred = B.truth_and_pred(spark, sf)
-    return pred.select(*B.RUN, "doc").distinct().withColumn("retry_count", (F.col("doc") % 3).cast("int"))
+def _details(spark: SparkSession, sf: str) -> DataFrame:
+    return _judged(spark, sf)[0]
 
 
 # --- scalar functions -----------------------------------------------------------------------------------
@@ -150,11 +151,14 @@ def array_greedy_match(spark: SparkSession, sf: str) -> DataFrame:
     return judge.alignment(truth, pred, B.RUN)
 
 
-@query(f"{B.WITH_BIND} select p.llm, p.parse_type, t.doc, t.idx, t.rel, t.value as xml, p.value as llm_value from truth t left join pred p on p.doc = t.doc and p.idx = t.idx and p.rel = t.rel where t.idx is not null")
+@query(f"""{B.WITH_BIND} select doc, rel, count(*) as pairs, count(p.value) as filled, count(*) filter (where p.value = t.value) as equal, min(t.value || '=' || p.value) as first, max(t.value || '=' || p.value) as last
+from truth t left join pred p using (doc, idx, rel) where t.idx is not null group by all""")
 def positional_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Elements paired by place, per document and field."""
     truth, pred = B.truth_and_pred(spark, sf)
-    t = truth.where("idx is not null").select("doc", "idx", "rel", F.col("value").alias("xml"))
-    return t.join(pred.select(*B.RUN, "doc", "idx", "rel", F.col("value").alias("llm_value")), ["doc", "idx", "rel"], "left").select(*B.RUN, "doc", "idx", "rel", "xml", "llm_value")
+    j = judge.positional(truth, pred, B.RUN)
+    both = F.concat("xml", F.lit("="), "llm_value")
+    return j.groupBy("doc", "rel").agg(F.count("*").alias("pairs"), F.count("llm_value").alias("filled"), F.count_if(F.col("llm_value") == F.col("xml")).alias("equal"), F.min(both).alias("first"), F.max(both).alias("last"))
 
 
 @query(f"{B.WITH_GREEDY}, {B.PASS1} select llm, parse_type, doc, idx, rel, status, xml, case when status = 'not_extracted' then '' else v end as llm_value from pass1")
@@ -174,11 +178,14 @@ def label_universe(spark: SparkSession, sf: str) -> DataFrame:
     return _labels(B.truth_and_pred(spark, sf)[1])
 
 
-@query(f"with {B.DUCK}, f as (select {B.FIELD} as field from pred), l as (select distinct rtrim(regexp_replace(field, '\\[\\d+\\]\\.?', '.', 'g'), '.') as label from f), t as (select *, {B.FIELD} as field from truth) select doc, field, value from t where rtrim(regexp_replace(field, '\\[\\d+\\]\\.?', '.', 'g'), '.') in (select label from l)")
+@query(f"""with {B.DUCK}, f as (select {B.FIELD} as field from pred), l as (select distinct rtrim(regexp_replace(field, '\\[\\d+\\]\\.?', '.', 'g'), '.') as label from f), t as (select *, {B.FIELD} as field from truth)
+select doc, count(*) as leaves, min(field) as first, max(field) as last, count(distinct value) as texts from t where rtrim(regexp_replace(field, '\\[\\d+\\]\\.?', '.', 'g'), '.') in (select label from l) group by doc""")
 def label_semi(spark: SparkSession, sf: str) -> DataFrame:
+    """Truth leaves whose label some prediction has, per document."""
     truth, pred = B.truth_and_pred(spark, sf)
     t = truth.withColumn("field", judge.field_path(F.col("idx"), F.col("rel"))).withColumn("label", paths.strip_indices(F.col("field")))
-    return t.join(_labels(pred), "label", "left_semi").select("doc", "field", "value")
+    known = t.join(_labels(pred), "label", "left_semi")
+    return known.groupBy("doc").agg(F.count("*").alias("leaves"), F.min("field").alias("first"), F.max("field").alias("last"), F.count_distinct("value").alias("texts"))
 
 
 # --- judged leaves, metrics, reports ---------------------------------------------------------------------
@@ -197,7 +204,7 @@ def file_metrics(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""{B.WITH_DETAILS}, fl as (select llm, parse_type, count(*) as files, sum(doc % 3) as total_retries, count(*) filter (where doc % 3 > 0) as retried_files from (select distinct llm, parse_type, doc from pred) group by all),
 o as ({B.metrics_sql('llm, parse_type')}) select o.*, files, cast(total_retries as bigint) as total_retries, retried_files from o join fl using (llm, parse_type) order by f1 desc, llm, parse_type""")
 def overall_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    o = metrics.overall(_details(spark, sf), _files(spark, sf), B.RUN)
+    o = metrics.overall(*_judged(spark, sf), B.RUN)
     return o.orderBy(F.desc("f1"), "llm", F.concat("parse_type", F.lit(".json")))
 
 
@@ -238,13 +245,15 @@ def _ratio(a: str) -> str:
     return f"case when fp + pm + wv > 0 then ({a}) / (fp + pm + wv) else 0.0 end"
 
 
-@query(f"""{B.WITH_DETAILS}, c as (
-  select llm, parse_type, count(*) filter (where error_type = 'false_positive') as fp, count(*) filter (where error_type = 'partial_match') as pm, count(*) filter (where error_type = 'wrong_value') as wv
-  from d where status = 'incorrect' group by grouping sets ((llm, parse_type), (llm)))
+@query(f"""{B.WITH_DETAILS}, k as (select llm, parse_type, error_type from d where status = 'incorrect'), all_runs as (select distinct llm, parse_type from pred),
+c as (
+  select r.llm, r.parse_type, count(*) filter (where error_type = 'false_positive') as fp, count(*) filter (where error_type = 'partial_match') as pm, count(*) filter (where error_type = 'wrong_value') as wv
+  from all_runs r left join k on k.llm = r.llm and k.parse_type = r.parse_type group by grouping sets ((r.llm, r.parse_type), (r.llm)))
 select llm, coalesce(parse_type, '全体') as parse_type, fp + pm + wv as total_incorrect, fp as false_positive_count, pm + wv as "partial+wrong count", pm as partial_match_count, wv as wrong_value_count,
   {_ratio('fp')} as false_positive_ratio, {_ratio('pm + wv')} as "partial+wrong ratio", {_ratio('pm')} as partial_match_ratio, {_ratio('wv')} as wrong_value_ratio from c""")
 def error_type_breakdown(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.error_breakdown(_details(spark, sf))
+    details, files = _judged(spark, sf)
+    return metrics.error_breakdown(details, files)
 
 
 @query(f"{B.WITH_DETAILS} select llm, parse_type, doc as file, pass, field, error_type, xml, llm_value from d where status = 'incorrect'")

@@ -204,3 +204,33 @@ def test_labels_filter(spark):
 def test_normal_form_is_nfkc_first():
     for s in ("Ａ①", "ﾎﾟｰﾄ", "½"):
         assert text.normal_form(s) == re.sub("ー", "-", unicodedata.normalize("NFKC", s))
+
+
+def test_alignment_from_leaves_is_the_greedy_choice(spark):
+    rng = random.Random(11)
+    rows = lambda n: [(d, i, rng.choice("ab"), rng.choice(["1", "2", "3", ""])) for d in range(6) for i in range(n) for _ in range(3)]
+    truth = spark.createDataFrame(rows(7), "doc int, idx int, rel string, norm string")
+    pred = spark.createDataFrame([(d, f"r{r}", *x) for r in range(3) for d, *x in rows(6) if (d, r) != (2, 1)], "doc int, run string, idx int, rel string, norm string")
+    per_run = truth.join(pred.select("run", "doc").distinct(), "doc")
+    want = align.greedy_pairs(align.overlap_scores(per_run, pred, ["doc", "run"]), ["doc", "run"]).collect()
+    got = align.greedy_alignment(truth, pred, ["doc"], ["run"]).collect()
+    assert {(r.doc, r.run, r.truth_idx, r.pred_idx) for r in got} == {(r.doc, r.run, r.truth_idx, r.pred_idx) for r in want} and len(got) == len(want) > 50
+    assert align.greedy_alignment(truth, pred.limit(0), ["doc"], ["run"]).count() == 0
+
+
+def test_error_kinds_of_runs_without_errors(spark):
+    """One row for every run and one for its llm, zeros where nothing is wrong, in the order of the known llms."""
+    d = spark.createDataFrame([("b", "p", "incorrect", "wrong_value"), ("b", "p", "incorrect", "false_positive"), ("b", "q", "correct", None), ("x", "p", "incorrect", "wrong_value")], "llm string, parse_type string, status string, error_type string")
+    runs = spark.createDataFrame([("a", "p"), ("b", "p"), ("b", "q"), ("x", "p")], "llm string, parse_type string")
+    got = metrics.error_breakdown(d, runs, ["b", "a"]).orderBy(F.col("parse_type") == "全体", "llm_rank", "parse_type").collect()
+    assert [(r.llm, r.parse_type, r.total_incorrect, r.false_positive_count, r.wrong_value_count, r.wrong_value_ratio) for r in got] == [
+        ("b", "p", 2, 1, 1, 0.5), ("b", "q", 0, 0, 0, 0.0), ("a", "p", 0, 0, 0, 0.0), ("b", "全体", 2, 1, 1, 0.5), ("a", "全体", 0, 0, 0, 0.0)]
+
+
+def test_spatial_text_of_pages_with_equal_heads(spark):
+    text = "=== Page 1 ===\n[x=0,y=10] a\n=== Page 1 ===\n[x=0,y=10] b\n=== Page 2 ===\n=== Page 3 ===\n[x=0,y=0] c"
+    from strataline.operators import layout
+
+    df = spark.createDataFrame([(1, text), (2, "no lines"), (3, None), (4, "[x=0,y=5] d")], "k int, t string")
+    got = {r.k: r.spatial for r in layout.spatial_text(df, "k", "t").collect()}
+    assert got == {1: "=== Page 1 ===\na\n=== Page 1 ===\nb\n=== Page 3 ===\nc", 4: "d"}

@@ -33,7 +33,7 @@ def test_row_anchor_not_last(spark):
 def test_overlap(spark):
     rows = [("a", "x", 0.0, 0.0, 5.0, 5.0, 0, 0), ("a", "y", 4.0, 4.0, 9.0, 9.0, 0, 1), ("b", "x", 0.0, 0.0, 5.0, 5.0, 0, 0), ("b", "x", 0.1, 0.0, 5.1, 5.0, 0, 1), ("c", " ", 0.0, 0.0, 5.0, 5.0, 0, 0)]
     df = spark.createDataFrame(rows, "page string, ch string, x0 double, y0 double, x1 double, y1 double, block int, line int")
-    assert {r.page: r.has_overlap for r in layout.overlapping_pages(df, ["page"], 6.0).collect()} == {"a": True, "b": False, "c": False}
+    assert {r.page: r.has_overlap for r in layout.overlapping_pages(df, ["page"]).collect()} == {"a": True, "b": False, "c": False}
 
 
 def test_table_and_width(spark):
