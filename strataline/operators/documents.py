@@ -158,11 +158,11 @@ def judge(truth: Any, pred: Any, labels: frozenset[str] | None = None) -> list[t
     return rows
 
 
-def judge_documents(pairs: DataFrame, keys: list[str], truth: str, pred: str, labels: list[str] | None = None, unreadable: bool = False) -> DataFrame:
+def judge_documents(pairs: DataFrame, keys: list[str], truth: str, pred: str, labels: list[str] | None = None, unreadable: bool = False, opened: bool = True) -> DataFrame:
     """(keys..., retry_count, pass, seq, field, section, top_section, status, error_type, xml, llm_value).
 
     pairs: one row per document and run with the two JSON texts. Predictions are read as models write them
-    (fences and text around JSON, JSON inside strings); the reserved key ``_metadata`` is taken off first.
+    (fences and text around JSON, JSON inside strings if ``opened``); the reserved key ``_metadata`` is taken off first.
     Rows with a null or unreadable side give no leaves; with ``unreadable``, each whose prediction is null,
     cut off or holds no JSON gives one row of that status (pass 0, empty field).
     """
@@ -190,7 +190,7 @@ def judge_documents(pairs: DataFrame, keys: list[str], truth: str, pred: str, la
                 except ValueError:
                     continue
                 try:
-                    c = open_strings(read_prediction(y), a)
+                    c = open_strings(read_prediction(y), a) if opened else read_prediction(y)
                 except (ValueError, RecursionError):
                     if unreadable:
                         rows.append((0, 0, "", "", "", "unreadable", None, None, None))

@@ -1,10 +1,13 @@
 """Schemas read from records, and what a record breaks of them (relational form).
 
-A schema is a table (label, kind, required): kinds met at a label, and whether every parent object has it.
+A schema is a table (label, kind, required): kinds met at a label, and whether every parent object has it. For one
+record and its answer, ``json_schema`` and ``problems`` do the same as JSON Schema documents, inside a worker.
 """
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,3 +31,77 @@ def violations(nodes: DataFrame, schema: DataFrame) -> DataFrame:
     missing = objects.join(want, "parent_label").join(have, ["doc", "parent", "label"], "left_anti").select("doc", F.expr("coalesce(nullif(location, ''), 'root')").alias("location"), "label", F.lit("missing").alias("problem"))
     wrong = nodes.where("label <> ''").join(schema.select("label", "kinds"), "label").where(~F.array_contains("kinds", F.col("kind"))).select("doc", F.col("path").alias("location"), "label", F.concat(F.lit("kind "), F.col("kind")).alias("problem"))
     return missing.unionByName(wrong)
+
+
+# --- one record: JSON Schema as a document ---------------------------------------------------------------------
+
+_NAMES = {str: "string", bool: "boolean", int: "integer", float: "number", type(None): "null", dict: "object", list: "array"}
+
+
+def json_schema(value: Any) -> dict:
+    """The JSON Schema that a record follows: objects with properties and the keys all of them have as required,
+    arrays with one schema for all elements, several types side by side."""
+    return {"$schema": "http://json-schema.org/schema#", **_schema_of([value])}
+
+
+def _schema_of(values: list) -> dict:
+    """One schema for all the values."""
+    kinds: dict[str, list] = {}
+    for v in values:
+        kinds.setdefault(_NAMES[type(v)], []).append(v)
+    if "number" in kinds and "integer" in kinds:
+        kinds["number"] += kinds.pop("integer")
+    plain = sorted(k for k in kinds if k not in ("object", "array"))
+    parts: list[dict] = []
+    if plain:
+        parts.append({"type": plain[0] if len(plain) == 1 else plain})
+    if "array" in kinds:
+        inner = [x for v in kinds["array"] for x in v]
+        parts.append({"type": "array", "items": _schema_of(inner)} if inner else {"type": "array"})
+    if "object" in kinds:
+        objects = kinds["object"]
+        keys = list(dict.fromkeys(k for o in objects for k in o))
+        part: dict = {"type": "object"}
+        if keys:
+            part["properties"] = {k: _schema_of([o[k] for o in objects if k in o]) for k in keys}
+        if required := sorted(k for k in keys if all(k in o for o in objects)):
+            part["required"] = required
+        parts.append(part)
+    return parts[0] if len(parts) == 1 else {"anyOf": parts} if parts else {}
+
+
+def _is(value: Any, kind: str) -> bool:
+    if kind == "number":
+        return isinstance(value, (int, float)) and not isinstance(value, bool)
+    if kind == "integer":
+        return isinstance(value, int) and not isinstance(value, bool) or isinstance(value, float) and value.is_integer()
+    return _NAMES[type(value)] == kind
+
+
+def problems(value: Any, schema: dict) -> list[tuple[tuple, str]]:
+    """(path, message) of everything in which the value breaks the schema, by path."""
+    out: list[tuple[tuple, str]] = []
+    todo: list[tuple[tuple, Any, dict]] = [((), value, schema)]
+    while todo:
+        at, v, s = todo.pop()
+        if "anyOf" in s:
+            if all(problems(v, x) for x in s["anyOf"]):
+                out.append((at, f"{v!r} is not valid under any of the given schemas"))
+            continue
+        kinds = s.get("type", [])
+        kinds = [kinds] if isinstance(kinds, str) else kinds
+        if kinds and not any(_is(v, k) for k in kinds):
+            out.append((at, f"{v!r} is not of type {', '.join(map(repr, kinds))}"))
+            continue
+        if isinstance(v, dict):
+            out += [(at, f"{k!r} is a required property") for k in s.get("required", []) if k not in v]
+            todo += [((*at, k), x, s["properties"][k]) for k, x in v.items() if k in s.get("properties", {})]
+        elif isinstance(v, list) and "items" in s:
+            todo += [((*at, i), x, s["items"]) for i, x in enumerate(v)]
+    return sorted(out, key=lambda e: [(isinstance(x, str), str(x) if isinstance(x, str) else f"{x:09d}") for x in e[0]])
+
+
+def validate(value: Any, schema: dict) -> None:
+    """ValueError that names everything in which the value breaks the schema; the place is a dotted path, or 'root'."""
+    if found := problems(value, schema):
+        raise ValueError("Schema validation failed:\n" + "\n".join(f"  - {'.'.join(map(str, at)) or 'root'}: {said}" for at, said in found))

@@ -263,7 +263,7 @@ def html_convert(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def extract_stub_retry(spark: SparkSession, sf: str) -> DataFrame:
     inputs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("file"), "text")
-    return extract.extract(inputs, lambda f: extract.OfflineExtractor(int(f) % 4), ["chars"])
+    return extract.extract(inputs, lambda f: extract.OfflineExtractor(int(f) % 4), ["chars"]).drop("elapsed_seconds")
 
 
 # --- whole documents -----------------------------------------------------------------------------------------

@@ -79,6 +79,12 @@ def scan_results(spark: SparkSession, root: str, llms: list[str] | None = None)
     return d.where(F.col("llm").isin(llms)) if llms is not None else d
 
 
+def results_exist(spark: SparkSession, root: str) -> bool:
+    """Is there any results folder under ``root``?"""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/results_*/*")
+    return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at))
+
+
 def discover_runs(results: DataFrame, known: list[str] | None = None) -> DataFrame:
     """(llm, parse_type), each once, sorted; only known llms if given."""
     d = results.select("llm", "parse_type").distinct()
@@ -102,6 +108,59 @@ def list_inputs(files: DataFrame, tests: DataFrame | None = None, offset: int =
     return out.limit(limit) if limit > 0 else out
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Is there a file or folder of this name, on whatever file system?"""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def read_test_list(spark: SparkSession, path: str) -> DataFrame:
+    """(stem, ord) of a text with a name on each line: blanks around names and blank lines go; no file, no rows."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "stem string, ord int")
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("ord", "line"))
+    return lines.select(F.trim("line").alias("stem"), "ord").where("stem <> ''")
+
+
+def write_test_list(stems: DataFrame, folder: str) -> None:
+    """(stem, ord) as one text, a name on each line in order."""
+    stems.orderBy("ord", "stem").select(F.col("stem").alias("value")).coalesce(1).write.mode("overwrite").text(folder)
+
+
+def input_dir(root: str, parse_type: str) -> str:
+    """Where the inputs of a parse type lie."""
+    return f"{root}/pdf" if parse_type in ("pdf", "jpg") else f"{root}/parsed/{parse_type}"
+
+
+def output_dir(root: str, parse_type: str, llm: str, prompt: str = "simple_schemaless", default: str = "simple_schemaless") -> str:
+    """Where results go: another prompt than the default is named in the folder."""
+    return f"{root}/results_{llm}/{parse_type if prompt == default else f'{parse_type}_{prompt}'}"
+
+
+def write_files(rows: DataFrame, root: str) -> int:
+    """Write (path, content) rows as files under ``root``, each by the task that has it; gives their number.
+
+    ``root`` is a folder or URI that all executors share. A task that runs again writes the same files.
+    """
+    import pyarrow as pa
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
+        n = 0
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                at = f"{base}/{path}"
+                system.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(at) as f:
+                    f.write(content.encode("utf-8"))
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return rows.select("path", "content").where("path is not null and content is not null").mapInArrow(put, "n bigint").agg(F.sum("n")).first()[0] or 0
+
+
 def write_tsv(report: DataFrame, folder: str, decimals: int = 4) -> None:
     """One folder of TSV with a header; doubles with fixed decimals, nulls empty."""
     cols = [F.format_string(f"%.{decimals}f", c).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in report.dtypes]

@@ -104,3 +104,80 @@ def test_extract_keeps_parts_and_retries(spark):
 def test_html():
     assert to_html("# A\n\n| a | b |\n|---|---|\n| 1 | <2 |\n\ntext") == "<h1>A</h1>\n<table><thead><tr><th>a</th><th>b</th></tr></thead><tbody><tr><td>1</td><td>&lt;2</td></tr></tbody></table>\n<p>text</p>"
     assert to_html(None) is None and to_html("") == ""
+
+
+def test_json_schema_and_problems():
+    record = {"h": {"a": "1", "n": 2}, "l": [{"x": "1", "y": "2"}, {"x": "3", "z": {"q": "4"}}], "m": ["a", {"b": "c"}], "e": []}
+    got = schema.json_schema(record)
+    assert got["required"] == ["e", "h", "l", "m"] and got["properties"]["l"]["items"]["required"] == ["x"]
+    assert got["properties"]["l"]["items"]["properties"]["z"] == {"type": "object", "properties": {"q": {"type": "string"}}, "required": ["q"]}
+    assert got["properties"]["m"]["items"]["anyOf"][0] == {"type": "string"} and got["properties"]["e"] == {"type": "array"}
+    assert schema.problems(record, got) == []
+    wrong = {"h": {"a": 1}, "l": [{"y": "2"}, "s"], "m": [1], "e": []}
+    assert [(".".join(map(str, at)), said) for at, said in schema.problems(wrong, got)] == [
+        ("h", "'n' is a required property"), ("h.a", "1 is not of type 'string'"), ("l.0", "'x' is a required property"), ("l.1", "'s' is not of type 'object'"), ("m.0", "1 is not valid under any of the given schemas")]
+    with pytest.raises(ValueError, match="^Schema validation failed:\n  - root: 'b' is a required property$"):
+        schema.validate({}, schema.json_schema({"b": "1"}))
+
+
+def test_extraction_checks_the_answer(spark, tmp_path):
+    class Scripted:
+        """Answers in turn, and keeps what it was asked."""
+
+        def __init__(self, *answers):
+            self.answers, self.asked = list(answers), []
+
+        def ask(self, parts):
+            self.asked.append(list(parts))
+            return self.answers.pop(0), 10, 1
+
+    s = Scripted("not json", '```json\n{"a": 1}\n```', '{"a": "x"}')
+    r = extract.extract_checked(s, "body", schema.json_schema({"a": "1"}), extract.Prompts("S {schema} T {text}", "retry {errors}"))
+    assert (r["retry_count"], r["input_tokens"], r["output_tokens"], r["data"]) == (2, 30, 3, '{"a": "x"}')
+    assert s.asked[0][0].startswith("S {") and s.asked[0][0].endswith("T body") and s.asked[1][0] == s.asked[0][0] and len(s.asked[1]) == 4 and "not of type 'string'" in s.asked[2][3]
+    (tmp_path / "p").mkdir()
+    for n, t in (("text_prefix.txt", "P\n"), ("simple_schemaless.txt", "C\n\n"), ("retry.txt", "R")):
+        (tmp_path / "p" / n).write_text(t)
+    assert extract.Prompts.load(str(tmp_path / "p")) == extract.Prompts("P\nC", "R")
+    rows = [("f1", "t", '{"a": "1"}'), ("f2", "t", '{"a": "1"}'), ("f3", "t", None)]
+    df = spark.createDataFrame(rows, "file string, text string, record string")
+    make = lambda f: Scripted(*(['{"a": "ok"}'] if f == "f1" else ["{}"] * 3))
+    for _ in range(2):
+        total = extract.run_extraction(df, str(tmp_path), "m", "position", make).first()
+    assert (total.files, total.failed, total.input_tokens) == (1, 2, 10)
+    assert json.loads((tmp_path / "results_m/position/f1.json").read_text()) == {"_metadata": {"retry_count": 0}, "a": "ok"}
+    errors = spark.read.json(str(tmp_path / "errors_m/position")).collect()
+    assert sorted(e.file for e in errors) == ["f2", "f2", "f3", "f3"] and any("required property" in e.error for e in errors)
+    assert extract.extract(df, make).where("file = 'f2'").first().input_tokens == 30
+    assert extract.extract(df.drop("record"), "offline", ["chars"]).where("error is null").count() == 3
+    assert extract.extract(df.drop("record"), "claude", []).where("error like 'no backend%'").count() == 3
+
+
+def test_parsed_texts(spark, tmp_path):
+    from strataline.sources import parsed
+
+    root = str(tmp_path)
+    texts = spark.createDataFrame([("a", "=== Page 1 ===\n[x=0,y=1] t"), ("b", None)], "stem string, text string")
+    parsed.register("position", lambda spark, folder: texts)
+    assert parsed.derive(spark, root, "position") == 4
+    assert (tmp_path / "parsed/position/a.txt").read_text().endswith("t") and (tmp_path / "parsed/position_spatial/a.txt").read_text() == "=== Page 1 ===\nt" and (tmp_path / "parsed/position_spatial/b.txt").read_text() == ""
+    with pytest.raises(FileNotFoundError):
+        parsed.derive(spark, root, "html")
+    parsed.keep(spark.createDataFrame([("a", "# T")], "stem string, text string"), root, "pymupdf")
+    assert (tmp_path / "parsed/pymupdf/a.md").read_text() == "# T" and parsed.derive(spark, root, "html") == 1
+    assert (tmp_path / "parsed/pymupdf_html/a.html").read_text() == "<h1>T</h1>"
+    for kind in ("html", "pymupdf4llm"):
+        with pytest.raises(ValueError):
+            parsed.extract_texts(spark, root, kind)
+    assert files.input_dir("r", "jpg") == "r/pdf" and files.input_dir("r", "position") == "r/parsed/position"
+    assert files.output_dir("r", "pdf", "m") == "r/results_m/pdf" and files.output_dir("r", "pdf", "m", "balanced") == "r/results_m/pdf_balanced"
+    (tmp_path / "list.txt").write_text(" b \n\na\n")
+    assert [tuple(r) for r in files.read_test_list(spark, f"{root}/list.txt").orderBy("ord").collect()] == [("b", 0), ("a", 2)] and files.read_test_list(spark, f"{root}/none.txt").count() == 0
+    files.write_test_list(files.read_test_list(spark, f"{root}/list.txt"), f"{root}/out")
+    assert next((tmp_path / "out").glob("part*.txt")).read_text() == "b\na\n"
+
+
+def test_pages_that_cannot_be_read_count_as_overlapping(spark):
+    chars = spark.createDataFrame([("a", "x", 0.0, 0.0, 1.0, 1.0, 0, 0)], "page string, ch string, x0 double, y0 double, x1 double, y1 double, block int, line int")
+    failed = spark.createDataFrame([("b",)], "page string")
+    assert {r.page: r.has_overlap for r in layout.overlapping_pages(chars, ["page"], failed).collect()} == {"a": False, "b": True}
