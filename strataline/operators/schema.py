@@ -6,11 +6,15 @@ record and its answer, ``json_schema`` and ``problems`` do the same as JSON Sche
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataline.functions import jsonx
+
 
 def infer(nodes: DataFrame) -> DataFrame:
     """(label, kinds, required) over node rows (doc, node, parent, parent_label, label, kind).
@@ -105,3 +109,34 @@ def validate(value: Any, schema: dict) -> None:
     """ValueError that names everything in which the value breaks the schema; the place is a dotted path, or 'root'."""
     if found := problems(value, schema):
         raise ValueError("Schema validation failed:\n" + "\n".join(f"  - {'.'.join(map(str, at)) or 'root'}: {said}" for at, said in found))
+
+
+def answer_problems(pairs: DataFrame, keys: list[str], record: str, answer: str) -> DataFrame:
+    """(keys..., location, message): what each answer breaks of the schema of its own record.
+
+    pairs: one row per answer with the two JSON texts; answers are read as models write them, the reserved key
+    ``_metadata`` aside. A null or unreadable answer is one row of location 'root'; a null record gives no rows.
+    """
+    kinds = [pairs.schema[k].dataType.simpleString() for k in keys]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at: list[int] = []
+            where: list[str] = []
+            said: list[str] = []
+            for i, (x, y) in enumerate(zip(b.column(len(keys)).to_pylist(), b.column(len(keys) + 1).to_pylist(), strict=True)):
+                truth = jsonx.read_document(x)
+                if truth is None:
+                    continue
+                got = jsonx.read_document(y)
+                if isinstance(got, dict):
+                    got.pop("_metadata", None)
+                found = [((), "no complete JSON")] if got is None else problems(got, json_schema(truth))
+                at += [i] * len(found)
+                where += [".".join(map(str, p)) or "root" for p, _ in found]
+                said += [m for _, m in found]
+            held = b.select(list(range(len(keys)))).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*held.columns, pa.array(where, pa.string()), pa.array(said, pa.string())], names=[*keys, "location", "message"])
+
+    out = ", ".join([*(f"`{k}` {t}" for k, t in zip(keys, kinds, strict=True)), "location string, message string"])
+    return pairs.select(*keys, F.col(record).cast("string"), F.col(answer).cast("string")).mapInArrow(read, out)

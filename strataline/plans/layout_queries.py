@@ -222,9 +222,22 @@ def schema_infer(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def schema_violations(spark: SparkSession, sf: str) -> DataFrame:
-    """What each record lacks of the schema of the control sheet's record."""
-    nodes = _schema_nodes(spark, sf)
-    return schema.violations(nodes, schema.infer(nodes.where("doc = 'KB00-00000-00'")))
+    """What each extraction result breaks of the schema of its own sheet's record."""
+    r = first_delivery(table(spark, sf, "extraction_result").select("result_id", "file", "data", "loaded_at"), ["result_id"], ["loaded_at"])
+    return schema.answer_problems(r.join(_truth(spark, sf), "file"), ["result_id", "file"], "record", "data")
+
+
+@query(f"""with n as (select f.file, j.* from {_XML_SQL} f, json_tree(f.record) j),
+o as (select file, id, {_LABEL.replace(chr(92) + chr(34), chr(34))} as label from n where type = 'OBJECT'),
+s as (select file, label, count(*) as objects from o group by all),
+k as (select o.file, o.label, c.key, count(*) as n from o join n c on c.file = o.file and c.parent = o.id group by all)
+select k.file, k.label, key, n = objects as required from k join s using (file, label)""")
+def file_schemas(spark: SparkSession, sf: str) -> DataFrame:
+    """The keys of the objects at each label of each sheet's record, and whether all of them have it."""
+    n = _schema_nodes(spark, sf)
+    objects = n.where("kind = 'object'").groupBy("doc", F.col("label").alias("parent_label")).agg(F.count("*").alias("objects"))
+    keys = n.where("label <> ''").groupBy("doc", "parent_label", F.regexp_extract("label", r"([^.]*)$", 1).alias("key")).agg(F.count_distinct("parent").alias("n"))
+    return keys.join(objects, ["doc", "parent_label"]).select(F.col("doc").alias("file"), F.col("parent_label").alias("label"), "key", (F.col("n") == F.col("objects")).alias("required"))
 
 
 # --- runs, listings ----------------------------------------------------------------------------------------

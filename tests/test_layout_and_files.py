@@ -181,3 +181,10 @@ def test_pages_that_cannot_be_read_count_as_overlapping(spark):
     chars = spark.createDataFrame([("a", "x", 0.0, 0.0, 1.0, 1.0, 0, 0)], "page string, ch string, x0 double, y0 double, x1 double, y1 double, block int, line int")
     failed = spark.createDataFrame([("b",)], "page string")
     assert {r.page: r.has_overlap for r in layout.overlapping_pages(chars, ["page"], failed).collect()} == {"a": False, "b": True}
+
+
+def test_answers_against_the_schema_of_their_record(spark):
+    rows = [(1, '{"a": {"b": "1", "c": "2"}}', 'so: {"a": {"b": 1}, "_metadata": {}}'), (2, '{"a": "1"}', '{"a": "2"}'), (3, '{"a": "1"}', '{"a": '), (4, '{"a": "1"}', None), (5, None, "{}")]
+    df = spark.createDataFrame(rows, "id int, record string, data string")
+    got = sorted((r.id, r.location, r.message) for r in schema.answer_problems(df, ["id"], "record", "data").collect())
+    assert got == [(1, "a", "'c' is a required property"), (1, "a.b", "1 is not of type 'string'"), (3, "root", "no complete JSON"), (4, "root", "no complete JSON")]
