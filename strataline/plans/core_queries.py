@@ -92,18 +92,22 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return drift.change_report(table(spark, sf, "extraction_result"), table(spark, sf, "incorrect_examples"))
 
 
+def _batches(spark: SparkSession, sf: str) -> DataFrame:
+    return drift.batchwise(table(spark, sf, "extraction_result"))
+
+
 def p1_table(spark: SparkSession, sf: str) -> DataFrame:
-    records = _results(spark, sf)
+    records = _batches(spark, sf)
     return drift.consistent_table(records, drift.consistent_columns(records))
 
 
 def p1_cast_failures(spark: SparkSession, sf: str) -> DataFrame:
-    records = _results(spark, sf)
+    records = _batches(spark, sf)
     return drift.cast_failures(records, drift.consistent_columns(records))
 
 
 def p1_type_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    return drift.type_statistics(_results(spark, sf))
+    return drift.type_statistics(_batches(spark, sf))
 
 
 def p1_file_statistics(spark: SparkSession, sf: str) -> DataFrame:
