@@ -329,3 +329,15 @@ def test_runs_share_their_edges(spark):
 
     split = {(r.ext_id, r.spt_id): r.confidence for r in linkage.solve(pairs, dataclasses.replace(exact, run=7)).collect()}
     assert whole.keys() == split.keys() == {(r[0], r[1]) for r in rows} and max(abs(whole[k] - split[k]) for k in whole) < 1e-3
+
+
+def test_no_side_of_a_link_is_broadcast(spark, tmp_path, monkeypatch):
+    log, ext = _tests_and_readings(60, random.Random(5))
+    spark.createDataFrame(log, LOG).write.parquet(f"{tmp_path}/log")  # small files, so all sides are guessed to be small
+    spark.createDataFrame(ext, EXT).write.parquet(f"{tmp_path}/ext")
+    (tests, _), (readings, members) = linkage.classes(spark.read.parquet(f"{tmp_path}/log"), "spt_id", linkage.LOGGED[1:]), linkage.classes(spark.read.parquet(f"{tmp_path}/ext"), "ext_id", linkage.EXTRACTED[1:])
+    plans, cut = [], linkage.cut
+    seen = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    monkeypatch.setattr(linkage, "cut", lambda df: cut(seen(df)))
+    seen(members), seen(linkage.candidate_pairs(linkage.logged_rows(tests), linkage.extracted_rows(readings)))
+    assert sum("SortMergeJoin" in p for p in plans) >= 3 and not any("Broadcast" in p for p in plans)
