@@ -341,3 +341,17 @@ def test_no_side_of_a_link_is_broadcast(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(linkage, "cut", lambda df: cut(seen(df)))
     seen(members), seen(linkage.candidate_pairs(linkage.logged_rows(tests), linkage.extracted_rows(readings)))
     assert sum("SortMergeJoin" in p for p in plans) >= 3 and not any("Broadcast" in p for p in plans)
+
+
+def test_a_key_of_many_tests_keeps_the_right_one(spark, monkeypatch):
+    import datetime as dt
+
+    # six tests of one day, depth and N value; only the title's beginning and the soil tell them apart, which are no keys
+    day, soils = dt.date(2018, 3, 1), ["細砂", "粘土", "砂礫", "盛土", "粗砂", "腐植土"]
+    log = [(i, "菱楓朝鶴鳩雲"[i] + "沢台第一共同溝築造工事地盤調査業務", None, 40.0 + i, 140.0, None, day, 1.15, 3, i, 9 - i, 12, 30, soils[i]) for i in range(6)]
+    ext = [(100 + i, "菱楓朝鶴鳩雲"[i] + "沢台第一共同溝", None, None, None, None, "2018/3/1", "1.15", None, "12", "30", soils[i]) for i in range(6)]
+    L, E = linkage.logged_rows(spark.createDataFrame(log, LOG)), linkage.extracted_rows(spark.createDataFrame(ext, EXT))
+    got = {(r.ext_id, r.spt_id) for r in linkage.partial_keys(L, E).collect()}
+    assert got >= {(100 + i, i) for i in range(6)}
+    monkeypatch.setattr(linkage, "_BLOCK", 2)
+    assert {(r.ext_id, r.spt_id) for r in linkage.partial_keys(L, E).collect()} == got
