@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ SPACE = r"(?U)[\s\x1c-\x1f]"
 #: Numbers as Python's float() reads them (ASCII, without inf and nan).
 FLOAT = r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?$"
 
+_FLOAT, _INF = re.compile(FLOAT, re.A), re.compile(r"^[+-]?inf(inity)?$", re.I | re.A)
+
 _STEPS = [
     (re.compile(f"[{HYPHENS}]"), "-"),
     (re.compile(f"[{re.escape(ANGLE_MARKS)}]"), ""),
@@ -31,10 +34,19 @@ _STEPS = [
 
 def normal_form(text: str) -> str:
     """The normal form of one text (worker side)."""
-    t = unicodedata.normalize("NFKC", text)
+    return levelled(unicodedata.normalize("NFKC", text))
+
+
+def levelled(text: str) -> str:
+    """The normal form without NFKC, as ``normal`` has it with ``ascii_only``."""
     for pattern, to in _STEPS:
-        t = pattern.sub(to, t)
-    return t
+        text = pattern.sub(to, text)
+    return text
+
+
+def floats(forms: list[str]) -> np.ndarray:
+    """What ``as_float`` says of normal forms, nan for null (worker side)."""
+    return np.array([float(x) if _FLOAT.search(x) or _INF.search(x) else np.nan for x in forms], np.float64)
 
 
 @F.pandas_udf(T.StringType())

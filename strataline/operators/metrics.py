@@ -19,8 +19,13 @@ def with_scores(counts: DataFrame) -> DataFrame:
     return d.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
+def _number(rows: DataFrame, of: Column) -> Column:
+    """How many rows there are ``of``; rows with a column ``leaves`` stand for as many."""
+    return F.sum(F.when(of, F.col("leaves")).otherwise(F.lit(0).cast("bigint"))) if "leaves" in rows.columns else F.count_if(of)
+
+
 def count_status(details: DataFrame, by: list[str], more: tuple[str, ...] = ()) -> DataFrame:
-    return details.groupBy(*by).agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("correct", "incorrect", "not_extracted", *more)])
+    return details.groupBy(*by).agg(*[_number(details, F.col("status") == s).alias(s) for s in ("correct", "incorrect", "not_extracted", *more)])
 
 
 def metrics(details: DataFrame, by: list[str]) -> DataFrame:
@@ -29,15 +34,17 @@ def metrics(details: DataFrame, by: list[str]) -> DataFrame:
 
 def overall(details: DataFrame, files: DataFrame, run: list[str]) -> DataFrame:
     """Micro metrics per run over all its files; files: (run, doc, retry_count), also those without details."""
-    f = files.groupBy(*run).agg(F.count("*").alias("files"), F.sum("retry_count").alias("total_retries"), F.count_if(F.col("retry_count") > 0).alias("retried_files"))
+    each = F.col("leaves") if "leaves" in files.columns else F.lit(1).cast("bigint")
+    f = files.groupBy(*run).agg(F.sum(each).alias("files"), F.sum(F.col("retry_count") * each).alias("total_retries"), _number(files, F.col("retry_count") > 0).alias("retried_files"))
     j = f.join(count_status(details, run), run, "left").na.fill(0, ["correct", "incorrect", "not_extracted"])
     return with_scores(j)
 
 
 def sections(details: DataFrame, run: list[str]) -> DataFrame:
     """Metrics by top section and by section in one scan: (run, level, section, ...)."""
-    two = details.select(*run, "status", F.explode(F.array(F.struct(F.lit("top").alias("level"), F.col("top_section").alias("name")), F.struct(F.lit("sub").alias("level"), F.col("section").alias("name")))).alias("x"))
-    return metrics(two.select(*run, "status", F.col("x.level").alias("level"), F.col("x.name").alias("section")), [*run, "level", "section"])
+    more = ["leaves"] if "leaves" in details.columns else []
+    two = details.select(*run, "status", *more, F.explode(F.array(F.struct(F.lit("top").alias("level"), F.col("top_section").alias("name")), F.struct(F.lit("sub").alias("level"), F.col("section").alias("name")))).alias("x"))
+    return metrics(two.select(*run, "status", *more, F.col("x.level").alias("level"), F.col("x.name").alias("section")), [*run, "level", "section"])
 
 
 def precision_pivot(details: DataFrame, run: list[str], runs: list[str]) -> DataFrame:
@@ -46,10 +53,14 @@ def precision_pivot(details: DataFrame, run: list[str], runs: list[str]) -> Data
     return m.groupBy("section").pivot("run", runs).agg(F.first("precision"))
 
 
-def failed_patterns(details: DataFrame, run: list[str], drop: float = 0.2, limit: int = 10) -> DataFrame:
-    """The first incorrect leaves of sections whose precision lies more than ``drop`` under the run's."""
-    o = metrics(details, run).select(*run, F.col("precision").alias("__all"))
-    low = metrics(details, [*run, "section"]).where("evaluated > 0").join(o, run).where(F.col("precision") < F.col("__all") - drop).select(*run, "section")
+def failed_patterns(details: DataFrame, run: list[str], drop: float = 0.2, limit: int = 10, sums: DataFrame | None = None) -> DataFrame:
+    """The first incorrect leaves of sections whose precision lies more than ``drop`` under the run's.
+
+    With ``sums``, counted leaves, precisions are theirs, and ``details`` need only hold the first incorrect leaves of each section.
+    """
+    sums = details if sums is None else sums
+    o = metrics(sums, run).select(*run, F.col("precision").alias("__all"))
+    low = metrics(sums, [*run, "section"]).where("evaluated > 0").join(o, run).where(F.col("precision") < F.col("__all") - drop).select(*run, "section")
     w = Window.partitionBy(*run, "section").orderBy("doc", "pass", F.col("idx").asc_nulls_first(), "fno")
     bad = details.where("status = 'incorrect'").join(low, [*run, "section"]).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
     return bad.select(*run, "section", "rank", F.col("doc").alias("file"), "field", "error_type", clean_cell(F.col("xml")).alias("xml"), clean_cell(F.col("llm_value")).alias("llm_value"))
@@ -63,7 +74,7 @@ def error_breakdown(details: DataFrame, runs: DataFrame | None = None, known: li
     """
     kinds = ("false_positive", "partial_match", "wrong_value")
     wrong = F.col("status") == "incorrect"
-    per_run = details.groupBy("llm", "parse_type").agg(*[F.count_if(wrong & (F.col("error_type") == k)).alias(k) for k in kinds])
+    per_run = details.groupBy("llm", "parse_type").agg(*[_number(details, wrong & (F.col("error_type") == k)).alias(k) for k in kinds])
     if runs is not None:
         per_run = runs.select("llm", "parse_type").distinct().join(per_run, ["llm", "parse_type"], "left").na.fill(0, list(kinds))
     if known is not None:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataline.functions import paths, text
-from strataline.operators import align, judge, metrics
+from strataline.operators import align, judge, metrics, together
 from strataline.plans import bindings as B
 from strataline.session import cut
 from strataline.sources.tables import table
@@ -48,6 +49,20 @@ def _details(spark: SparkSession, sf: str) -> DataFrame:
     return _judged(spark, sf)[0]
 
 
+def _documents(spark: SparkSession, sf: str) -> tuple:
+    """What the operators of ``together`` take first: whole documents, and what makes their leaves."""
+    return B.documents(spark, sf), B.leaves_of
+
+
+def _sums(spark: SparkSession, sf: str, first: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(judged leaves, files) of all documents as sums, and the first incorrect leaves, written once: some rows of each task."""
+    all_ = cut(together.counts(*_documents(spark, sf), B.RUN, lambda doc: np.fmod(doc, 3), first))
+    known = all_.where("status = 'label'").select("label").distinct().withColumn("__known", F.lit(True))
+    sums = all_.where("status not in ('file', 'label', 'first')").join(F.broadcast(known), "label", "left").where("label is null or __known")
+    wrong = all_.where("status = 'first'").select(*B.RUN, "section", F.lit("incorrect").alias("status"), "error_type", "example.*")
+    return sums.select(*B.RUN, "section", "top_section", "status", "error_type", "leaves"), all_.where("status = 'file'").select(*B.RUN, "retry_count", "leaves"), wrong
+
+
 # --- scalar functions -----------------------------------------------------------------------------------
 
 
@@ -147,8 +162,7 @@ def array_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{B.WITH_GREEDY} select * from m")
 def array_greedy_match(spark: SparkSession, sf: str) -> DataFrame:
-    truth, pred = _bound(spark, sf)
-    return judge.alignment(truth, pred, B.RUN)
+    return together.alignment(*_documents(spark, sf), B.RUN)
 
 
 @query(f"""{B.WITH_BIND} select doc, rel, count(*) as pairs, count(p.value) as filled, count(*) filter (where p.value = t.value) as equal, min(t.value || '=' || p.value) as first, max(t.value || '=' || p.value) as last
