@@ -266,8 +266,7 @@ c as (
 select llm, coalesce(parse_type, '全体') as parse_type, fp + pm + wv as total_incorrect, fp as false_positive_count, pm + wv as "partial+wrong count", pm as partial_match_count, wv as wrong_value_count,
   {_ratio('fp')} as false_positive_ratio, {_ratio('pm + wv')} as "partial+wrong ratio", {_ratio('pm')} as partial_match_ratio, {_ratio('wv')} as wrong_value_ratio from c""")
 def error_type_breakdown(spark: SparkSession, sf: str) -> DataFrame:
-    details, files = _judged(spark, sf)
-    return metrics.error_breakdown(details, files)
+    return metrics.error_breakdown(*_sums(spark, sf)[:2])
 
 
 @query(f"{B.WITH_DETAILS} select llm, parse_type, doc as file, pass, field, error_type, xml, llm_value from d where status = 'incorrect'")
