@@ -212,7 +212,7 @@ def details_full(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{B.WITH_DETAILS} {B.metrics_sql('llm, parse_type, doc')}")
 def file_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.metrics(_details(spark, sf), [*B.RUN, "doc"])
+    return metrics.with_scores(together.file_counts(*_documents(spark, sf), B.RUN))
 
 
 @query(f"""{B.WITH_DETAILS}, fl as (select llm, parse_type, count(*) as files, sum(doc % 3) as total_retries, count(*) filter (where doc % 3 > 0) as retried_files from (select distinct llm, parse_type, doc from pred) group by all),
