@@ -177,8 +177,7 @@ def positional_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{B.WITH_GREEDY}, {B.PASS1} select llm, parse_type, doc, idx, rel, status, xml, case when status = 'not_extracted' then '' else v end as llm_value from pass1")
 def judge_leaf_left(spark: SparkSession, sf: str) -> DataFrame:
-    truth, pred = _bound(spark, sf)
-    return judge.truth_pass(truth, pred, judge.alignment(truth, pred, B.RUN), B.RUN).select(*B.RUN, "doc", "idx", "rel", "status", "xml", "llm_value")
+    return together.truth_pass(*_documents(spark, sf), B.RUN)
 
 
 @query(f"with {B.DUCK}, {B.NORMED}, {B.PASS2} select llm, parse_type, doc, idx, rel, v as llm_value from pass2")

@@ -12,7 +12,7 @@ from strataline.plans import bindings as B
 from strataline.plans import reference_queries as queries
 from strataline.session import checkpoint_dir
 
-NAMES = ["array_greedy_match", "error_type_breakdown", "file_metrics"]
+NAMES = ["array_greedy_match", "error_type_breakdown", "file_metrics", "judge_leaf_left"]
 
 
 @pytest.fixture(scope="module")
