@@ -238,7 +238,7 @@ def error_type_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{B.WITH_DETAILS}, x as ({B.metrics_sql('llm, parse_type, section')}) select section, " + ", ".join(f"max(precision) filter (where llm || '_' || parse_type = '{r}') as {r}" for r in B.RUN_NAMES) + " from x group by section")
 def precision_pivot(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.precision_pivot(_details(spark, sf), B.RUN, B.RUN_NAMES)
+    return metrics.precision_pivot(_sums(spark, sf)[0], B.RUN, B.RUN_NAMES)
 
 
 #: The bound data has no section as bad as 0.2 under its run, so the report is asked for a smaller drop.
