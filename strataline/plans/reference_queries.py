@@ -182,8 +182,7 @@ def judge_leaf_left(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"with {B.DUCK}, {B.NORMED}, {B.PASS2} select llm, parse_type, doc, idx, rel, v as llm_value from pass2")
 def unexpected_anti(spark: SparkSession, sf: str) -> DataFrame:
-    truth, pred = _bound(spark, sf)
-    return judge.prediction_pass(truth, pred, B.RUN).select(*B.RUN, "doc", "idx", "rel", "llm_value")
+    return together.prediction_pass(*_documents(spark, sf), B.RUN)
 
 
 @query(f"with {B.DUCK}, f as (select {B.FIELD} as field from pred) select distinct rtrim(regexp_replace(field, '\\[\\d+\\]\\.?', '.', 'g'), '.') as label from f")
