@@ -155,9 +155,7 @@ def inner_result_truth(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{B.WITH_SCORES} select * from s")
 def array_scores(spark: SparkSession, sf: str) -> DataFrame:
-    truth, pred = _bound(spark, sf)
-    lines = truth.join(pred.where("idx is not null").select(*B.RUN, "doc").distinct(), "doc")
-    return align.overlap_scores(lines, pred, ["doc", *B.RUN])
+    return together.overlap_scores(*_documents(spark, sf), B.RUN)
 
 
 @query(f"{B.WITH_GREEDY} select * from m")
