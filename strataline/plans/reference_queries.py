@@ -230,7 +230,7 @@ def section_error_types(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{B.WITH_DETAILS} select llm, parse_type, error_type, count(*) as n from d where status = 'incorrect' group by all")
 def error_type_totals(spark: SparkSession, sf: str) -> DataFrame:
-    return _details(spark, sf).where("status = 'incorrect'").groupBy(*B.RUN, "error_type").agg(F.count("*").alias("n"))
+    return _sums(spark, sf)[0].where("status = 'incorrect'").groupBy(*B.RUN, "error_type").agg(F.sum("leaves").alias("n"))
 
 
 @query(f"{B.WITH_DETAILS}, x as ({B.metrics_sql('llm, parse_type, section')}) select section, " + ", ".join(f"max(precision) filter (where llm || '_' || parse_type = '{r}') as {r}" for r in B.RUN_NAMES) + " from x group by section")
