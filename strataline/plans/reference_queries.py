@@ -267,4 +267,4 @@ def error_type_breakdown(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{B.WITH_DETAILS} select llm, parse_type, doc as file, pass, field, error_type, xml, llm_value from d where status = 'incorrect'")
 def incorrect_examples(spark: SparkSession, sf: str) -> DataFrame:
-    return _details(spark, sf).where("status = 'incorrect'").select(*B.RUN, F.col("doc").alias("file"), "pass", "field", "error_type", "xml", "llm_value").orderBy(*B.RUN, "file", "pass")
+    return together.details(*_documents(spark, sf), B.RUN, "incorrect").select(*B.RUN, F.col("doc").alias("file"), "pass", "field", "error_type", "xml", "llm_value")
