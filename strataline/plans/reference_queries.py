@@ -214,7 +214,7 @@ def file_metrics(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""{B.WITH_DETAILS}, fl as (select llm, parse_type, count(*) as files, sum(doc % 3) as total_retries, count(*) filter (where doc % 3 > 0) as retried_files from (select distinct llm, parse_type, doc from pred) group by all),
 o as ({B.metrics_sql('llm, parse_type')}) select o.*, files, cast(total_retries as bigint) as total_retries, retried_files from o join fl using (llm, parse_type) order by f1 desc, llm, parse_type""")
 def overall_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    o = metrics.overall(*_judged(spark, sf), B.RUN)
+    o = metrics.overall(*_sums(spark, sf)[:2], B.RUN)
     return o.orderBy(F.desc("f1"), "llm", F.concat("parse_type", F.lit(".json")))
 
 
