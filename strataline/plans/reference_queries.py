@@ -225,7 +225,7 @@ def section_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{B.WITH_DETAILS} select llm, parse_type, section, error_type, count(*) as n from d where status = 'incorrect' group by all")
 def section_error_types(spark: SparkSession, sf: str) -> DataFrame:
-    return _details(spark, sf).where("status = 'incorrect'").groupBy(*B.RUN, "section", "error_type").agg(F.count("*").alias("n"))
+    return _sums(spark, sf)[0].where("status = 'incorrect'").groupBy(*B.RUN, "section", "error_type").agg(F.sum("leaves").alias("n"))
 
 
 @query(f"{B.WITH_DETAILS} select llm, parse_type, error_type, count(*) as n from d where status = 'incorrect' group by all")
