@@ -203,7 +203,7 @@ def label_semi(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{B.WITH_DETAILS} select llm, parse_type, doc, pass, idx, fno, field, section, top_section, status, error_type, xml, llm_value from d")
 def details_full(spark: SparkSession, sf: str) -> DataFrame:
-    return _details(spark, sf)
+    return together.details(*_documents(spark, sf), B.RUN)
 
 
 @query(f"{B.WITH_DETAILS} {B.metrics_sql('llm, parse_type, doc')}")
