@@ -248,7 +248,8 @@ select llm, parse_type, section, rank, file, field, error_type, xml, llm_value f
   select d.llm, d.parse_type, d.section, row_number() over (partition by d.llm, d.parse_type, d.section order by doc, pass, idx nulls first, fno) as rank, doc as file, field, error_type, xml, llm_value
   from d join low using (llm, parse_type, section) where status = 'incorrect') where rank <= 10""")
 def failed_patterns(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.failed_patterns(_details(spark, sf), B.RUN, _DROP)
+    sums, _, wrong = _sums(spark, sf, 10)
+    return metrics.failed_patterns(wrong, B.RUN, _DROP, sums=sums)
 
 
 def _ratio(a: str) -> str:
