@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataline.functions import paths, text
-from strataline.operators import align, judge, metrics, together
+from strataline.operators import judge, metrics, together
 from strataline.plans import bindings as B
 from strataline.session import cut
 from strataline.sources.tables import table
@@ -28,27 +28,10 @@ def query(sql: str | None = None):
     return add
 
 
-def _bound(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Leaf tables with their normal form, written once: six joins read them."""
-    truth, pred = B.truth_and_pred(spark, sf)
-    return cut(judge.with_norm(truth, ascii_only=True)), cut(judge.with_norm(pred, ascii_only=True))
-
-
 def _labels(pred: DataFrame) -> DataFrame:
     return pred.select(paths.strip_indices(judge.field_path(F.col("idx"), F.col("rel"))).alias("label")).distinct()
 
 
-def _judged(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """(details, files), both from the leaf tables written once."""
-    truth, pred = _bound(spark, sf)
-    files = pred.select(*B.RUN, "doc").distinct().withColumn("retry_count", (F.col("doc") % 3).cast("int"))
-    return judge.details(truth, pred, B.RUN, _labels(pred)), files
-
-
-def _details(spark: SparkSession, sf: str) -> DataFrame:
-    return _judged(spark, sf)[0]
-
-
 def _documents(spark: SparkSession, sf: str) -> tuple:
     """What the operators of ``together`` take first: whole documents, and what makes their leaves."""
     return B.documents(spark, sf), B.leaves_of
@@ -220,7 +203,7 @@ def overall_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""{B.WITH_DETAILS}, two as (select llm, parse_type, 'top' as level, top_section as section, status from d union all select llm, parse_type, 'sub', section, status from d) {B.metrics_sql('llm, parse_type, level, section', 'two')}""")
 def section_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.sections(_details(spark, sf), B.RUN)
+    return metrics.sections(_sums(spark, sf)[0], B.RUN)
 
 
 @query(f"{B.WITH_DETAILS} select llm, parse_type, section, error_type, count(*) as n from d where status = 'incorrect' group by all")

@@ -12,7 +12,7 @@ from strataline.plans import bindings as B
 from strataline.plans import reference_queries as queries
 from strataline.session import checkpoint_dir
 
-NAMES = ["array_greedy_match", "error_type_breakdown", "file_metrics", "judge_leaf_left", "precision_pivot", "unexpected_anti", "array_scores", "error_type_totals", "incorrect_examples", "overall_metrics", "section_error_types", "details_full", "failed_patterns"]
+NAMES = ["array_greedy_match", "error_type_breakdown", "file_metrics", "judge_leaf_left", "precision_pivot", "unexpected_anti", "array_scores", "error_type_totals", "incorrect_examples", "overall_metrics", "section_error_types", "details_full", "failed_patterns", "section_metrics"]
 
 
 @pytest.fixture(scope="module")
